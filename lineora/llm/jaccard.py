@@ -56,6 +56,16 @@ def shingle_set(text: bytes | None, width: int, known: WordHash) -> np.ndarray:
     return np.unique(mixed(out + np.uint64(k)))
 
 
+BITMAP_WORDS = 16
+
+
+def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """BITMAP_WORDS longs: bit i is the parity of the tokens that fall on it. The bits in which two bitmaps differ are at
+    most as many as the elements in which the sets differ."""
+    bits = np.bincount((tokens % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def signature(tokens: np.ndarray) -> int:
     """60 bits; 0 for the empty set only."""
     return (xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 4 or 1) if len(tokens) else 0
@@ -97,24 +107,25 @@ def _scan(width: int):
         known, seen, counts, total = WordHash(), set(), np.zeros(1 << BUCKET_BITS, np.int32), 0
         shift = np.uint64(64 - BUCKET_BITS)
         for batch in batches:
-            hashes, sigs, sizes = [], [], []
+            hashes, sigs, sizes, maps = [], [], [], []
             for text in _texts(batch, "text"):
                 tokens = shingle_set(text, width, known)
                 sig = signature(tokens)
                 hashes.append(xxhash.xxh3_64_intdigest(text or b"") >> 1)
                 sigs.append(sig)
                 sizes.append(len(tokens))
+                maps.append(None if sig in seen else parity_bitmap(tokens))
                 if sig not in seen:
                     seen.add(sig)
                     np.add.at(counts, (tokens >> shift).astype(np.int64), 1)
                     total += len(tokens)
             n = len(sigs)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int8()), batch.column("doc_id"), pa.array(hashes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64())], ["kind", "doc_id", "text_hash", "sig", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int8()), batch.column("doc_id"), pa.array(hashes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.list_(pa.int64()))], ["kind", "doc_id", "text_hash", "sig", "n", "bitmap"])
         load = total / len(counts)
         high = np.flatnonzero(counts >= load + 8 * math.sqrt(load) + 8)
         if len(high):
             empty = pa.nulls(len(high), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([1] * len(high), pa.int8()), empty, empty, pa.array(high, pa.int64()), pa.array(counts[high], pa.int64())], ["kind", "doc_id", "text_hash", "sig", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(high), pa.int8()), empty, empty, pa.array(high, pa.int64()), pa.array(counts[high], pa.int64()), pa.nulls(len(high), pa.list_(pa.int64()))], ["kind", "doc_id", "text_hash", "sig", "n", "bitmap"])
 
     return scan
 
@@ -134,7 +145,8 @@ def _keys(width: int, percent: int, boundary: int, heavy: np.ndarray):
                 seen.add(sig)
                 load = heavy[(tokens >> shift).astype(np.int64)]
                 order = tokens[np.lexsort((tokens, load))] if load.any() else tokens
-                nid = sig | (int(7 * np.count_nonzero(load == 0) / n) << 60)
+                rare = np.count_nonzero(load == 0)
+                nid = sig | ((1 + 6 * rare // n if rare else 0) << 60)
                 found = []
                 if n <= boundary:
                     for c in subset_sizes(n, percent, boundary):
@@ -178,9 +190,13 @@ def _sets(width: int, bits: np.ndarray, power: int):
 _SIG = (1 << 60) - 1
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b: nids) that reach the threshold."""
-    pairs = cut(pairs, "pairs")
+def _linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, maps: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b: nids; na, nb: their sizes) that reach the threshold. Bitmaps rule out most of the others before any
+    set is fetched: |A ^ B| <= (|A| + |B|) (100 - percent) / (100 + percent) for a link."""
+    left, right = maps.toDF("sa", "ma"), maps.toDF("sb", "mb")
+    met = pairs.join(left, F.col("a").bitwiseAND(_SIG) == F.col("sa")).join(right, F.col("b").bitwiseAND(_SIG) == F.col("sb"))
+    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    pairs = cut(met.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "pairs")
     ends = pairs.select(F.col("a").bitwiseAND(_SIG).alias("sig")).union(pairs.select(F.col("b").bitwiseAND(_SIG))).distinct()
     hashes = cut(nodes.join(ends, "sig", "left_semi").select("text_hash"), "ends")
     power = min(BLOOM_LARGEST, max(12, (16 * hashes.count()).bit_length()))
@@ -189,8 +205,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, pe
     bits = np.zeros(1 << (power - 6), np.uint64)
     bits[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     held = texts.sparkSession.sparkContext.broadcast(bits)
-    sets = texts.mapInArrow(lambda it: _sets(width, held.value, power)(it), "sig long, tokens binary").groupBy("sig").agg(F.first("tokens").alias("tokens"))
-    sets = cut(sets.join(ends, "sig", "left_semi"), "sets")
+    sets = texts.mapInArrow(lambda it: _sets(width, held.value, power)(it), "sig long, tokens binary").join(ends, "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens"))
+    sets = cut(sets, "sets")
 
     @F.pandas_udf("boolean")
     def reaches(a, b):
@@ -212,9 +228,10 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """For each row of docs: doc_id, text_hash, n_shingles, component_id (smallest doc_id reachable by links)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scanned = cut(texts.mapInArrow(_scan(width), "kind byte, doc_id long, text_hash long, sig long, n long"), "scan")
-    rows = scanned.where("kind = 0").drop("kind")
+    scanned = cut(texts.mapInArrow(_scan(width), "kind byte, doc_id long, text_hash long, sig long, n long, bitmap array<long>"), "scan")
+    rows = scanned.where("kind = 0").drop("kind", "bitmap")
     nodes = cut(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.max("n").alias("n")), "nodes")
+    maps = cut(scanned.where("kind = 0 and bitmap is not null").groupBy("sig").agg(F.first("bitmap").alias("bitmap")), "maps")
 
     heavy = np.zeros(1 << BUCKET_BITS, np.int64)
     counters = scanned.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).toPandas()  # 2**20 rows at most
@@ -231,8 +248,8 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     fits = lambda n, m: (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
     led = members.where("nid != leader").select(F.col("leader").alias("a"), F.col("nid").alias("b"), "n").distinct()
-    led = led.join(nodes.select("sig", F.col("n").alias("na")), F.col("a").bitwiseAND(_SIG) == F.col("sig")).where(fits("na", "n")).select("a", "b")
-    links = _linked(led, texts, nodes, width, percent)
+    led = led.join(nodes.select("sig", F.col("n").alias("na")), F.col("a").bitwiseAND(_SIG) == F.col("sig")).where(fits("na", "n")).select("a", "b", "na", F.col("n").cast("long").alias("nb"))
+    links = _linked(led, texts, nodes, maps, width, percent)
     first = components(links, "a", "b")
 
     named = members.join(first, F.col("nid") == F.col("node"), "left").select("key", "nid", "n", "pos", F.coalesce("root", "nid").alias("comp"))
@@ -243,9 +260,8 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     y = rest.toDF("key", "b", "m", "qos", "cb", "most_y").drop("most_y")
     once = (F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))
     reach = (F.col("pos") < 0) | (F.col("qos") < 0) | ((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("qos")) >= percent * (F.col("n") + F.col("m")))
-    more = x.join(y, "key").where((F.col("ca") != F.col("cb")) & once & fits("n", "m") & reach).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = more.join(led, (more["a"] == led["a"]) & (more["b"] == led["b"]), "left_anti")
-    links = links.union(_linked(more, texts, nodes, width, percent))
+    more = x.join(y, "key").where((F.col("ca") != F.col("cb")) & once & fits("n", "m") & reach).select("a", "b", F.col("n").alias("na"), F.col("m").alias("nb")).distinct()
+    links = cut(links.union(_linked(more, texts, nodes, maps, width, percent)), "links")
     last = components(links, "a", "b").select(F.col("node").bitwiseAND(_SIG).alias("sig"), "root")
 
     placed = nodes.join(last, "sig", "left").select("sig", "least_id", F.coalesce("root", "sig").alias("root"))
