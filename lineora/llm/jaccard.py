@@ -56,16 +56,26 @@ def shingle_set(text: bytes | None, width: int, known: WordHash) -> np.ndarray:
     return np.unique(mixed(out + np.uint64(k)))
 
 
-BITMAP_WORDS = 16
+LEAST_BITMAP = 16
 
 
 def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
-    """BITMAP_WORDS longs: bit i is the parity of the tokens that fall on it. The bits in which two bitmaps differ are at
-    most as many as the elements in which the sets differ."""
-    bits = np.bincount((tokens % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    """A power of 2 of longs with two bits or more for each token: bit i is the parity of the tokens that fall on it. The
+    bits in which two bitmaps differ are at most as many as the elements in which the sets differ."""
+    size = LEAST_BITMAP
+    while 64 * size < 2 * len(tokens):
+        size *= 2
+    bits = np.bincount((tokens % np.uint64(64 * size)).astype(np.int64), minlength=64 * size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _folded(bitmap: str, other: str):
+    """The bitmap, halved by xor where it is longer than the other. Sizes within the threshold's ratio differ by one step at most."""
+    half = (F.size(bitmap) / 2).cast("int")
+    halves = F.zip_with(F.slice(bitmap, 1, half), F.slice(bitmap, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bitmap) > F.size(other), halves).otherwise(F.col(bitmap))
+
+
 def signature(tokens: np.ndarray) -> int:
     """60 bits; 0 for the empty set only."""
     return (xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 4 or 1) if len(tokens) else 0
@@ -195,7 +205,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, maps: DataFram
     set is fetched: |A ^ B| <= (|A| + |B|) (100 - percent) / (100 + percent) for a link."""
     left, right = maps.toDF("sa", "ma"), maps.toDF("sb", "mb")
     met = pairs.join(left, F.col("a").bitwiseAND(_SIG) == F.col("sa")).join(right, F.col("b").bitwiseAND(_SIG) == F.col("sb"))
-    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    differ = F.aggregate(F.zip_with(_folded("ma", "mb"), _folded("mb", "ma"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     pairs = cut(met.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "pairs")
     ends = pairs.select(F.col("a").bitwiseAND(_SIG).alias("sig")).union(pairs.select(F.col("b").bitwiseAND(_SIG))).distinct()
     hashes = cut(nodes.join(ends, "sig", "left_semi").select("text_hash"), "ends")
