@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-
-#: ASCII white space and nothing else: space, \t, \n, \v, \f, \r.
-WORD = r"[^\x20\x09-\x0D]+"
-
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lineora-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from lineora.functions.tables import cut, fresh_path, shared_dir
 
+__all__ = ["WORD", "WordHash", "cut", "fresh_path", "mixed", "shared_dir", "word_hashes"]
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lineora/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ASCII white space and nothing else: space, \t, \n, \v, \f, \r.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 class WordHash(dict):
