@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DIMENSIONS = 1024
+DIMENSIONS = 512
 SEED = 20_240_601
 UNKNOWN = "und"
-#: Trigram vectors kept by a worker: 64 MB.
+#: Trigram vectors kept by a worker: 8 MB.
 CACHED = 16_384
 _BOUNDARY = 32
 
@@ -52,11 +52,11 @@ class Space:
 
     def __init__(self, seed: int = SEED):
         self.seed, self.letter = seed, {}
-        self.keys, self.vectors = np.empty(0, np.int64), np.empty((0, DIMENSIONS), np.float32)
+        self.keys, self.vectors = np.empty(0, np.int64), np.empty((0, DIMENSIONS), np.int8)
 
     def _letter(self, point: int) -> np.ndarray:
         if point not in self.letter:
-            self.letter[point] = np.random.default_rng([self.seed, point]).integers(0, 2, DIMENSIONS).astype(np.float32) * 2 - 1
+            self.letter[point] = np.random.default_rng([self.seed, point]).integers(0, 2, DIMENSIONS).astype(np.int8) * 2 - 1
         return self.letter[point]
 
     def _bound(self, key: int) -> np.ndarray:
@@ -65,7 +65,12 @@ class Space:
 
     def _rows(self, keys: np.ndarray) -> np.ndarray:
         """Row numbers of at most CACHED sorted distinct keys."""
-        new = np.setdiff1d(keys, self.keys, assume_unique=True)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            if len(new := keys[self.keys[at] != keys]) == 0:
+                return at
+        else:
+            new = keys
         if len(new):
             if len(self.keys) + len(new) > CACHED:
                 self.keys, self.vectors, new = self.keys[:0], self.vectors[:0], keys
@@ -79,7 +84,8 @@ class Space:
         out = np.zeros(DIMENSIONS)
         for i in range(0, len(keys), CACHED // 2):
             rows, n = self._rows(keys[i : i + CACHED // 2]), counts[i : i + CACHED // 2]
-            out += (n.astype(np.float32) if n.sum() < 1 << 24 else n.astype(np.float64)) @ self.vectors[rows]
+            kind = np.float32 if n.sum() < 1 << 24 else np.float64  # either is exact
+            out += n.astype(kind) @ self.vectors[rows].astype(kind)
         return out
 
 

@@ -1,3 +1,49 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express. Learned, seeded and structural results have none."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from lineora.llm.secrets import RULES
+
+
+def _spans_sql() -> str:
+    """For each rule the pieces between matches and the matches give every match's place."""
+    parts = []
+    for i, r in enumerate(RULES):
+        p = "'" + r.pattern.replace("'", "''").replace(r"\x20", " ") + "'"
+        parts.append(f"""SELECT doc_id, '{r.kind}' AS kind, {i} AS place, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+            's': coalesce(list_sum(list_transform(b[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0), 'n': length(m[i]), 'g': length(g[i])}})) AS x
+        FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {r.group}) AS g, regexp_split_to_array(t, {p}) AS b FROM d) WHERE len(m) > 0""")
+    least = " ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in RULES)
+    return f"SELECT doc_id, kind, place, CAST(x.s AS BIGINT) AS s, CAST(x.s + x.n AS BIGINT) AS e FROM ({' UNION ALL '.join(parts)}) WHERE x.g >= CASE kind {least} END"
+
+
+_OP1 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({_spans_sql()}),
+g AS (SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP5 = f"""WITH d AS (SELECT doc_id, {_WORDS.format(_LOW.format("coalesce(text, '')"))} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format(_LOW.format("coalesce(text, '')"))} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS x FROM b, range(1, 100000) r(i) WHERE len(w) > 0 AND i <= len(w) - least(10, len(w)) + 1),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM d, (SELECT DISTINCT n FROM bw) l, range(1, 100000) r(i) WHERE i <= len(w) - n + 1),
+hits AS (SELECT DISTINCT doc_id, i, n, item_id FROM dw JOIN bw USING (n, x)),
+words AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hits, range(0, 10) s(j) WHERE j < n GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+_OP6 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS x FROM w, range(1, 100000) r(i) WHERE len(w) > 0 AND i <= len(w) - least(4, len(w)) + 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 85 * (na.n + nb.n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a"""
+
+_LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {15 - 5 * j}) & 31), 1)" for i in range(8) for j in range(4))
+_OP7 = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages), q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least_id FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_LETTERS} AS payload_digest, CASE WHEN page_id = least_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least_id THEN least_id END AS refers_to FROM q"""
+
+ORACLES: dict[str, str] = {"op1_blob_ledger": _OP1, "op5_decontaminate": _OP5, "op6_jaccard_join": _OP6, "op7_warc": _OP7}
