@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lineora.llm.repetition import DUPLICATED, LEAST_WORDS, LINE_CHARS, LINES, TOP
 from lineora.llm.secrets import RULES
 
 
@@ -46,4 +47,23 @@ _LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('
 _OP7 = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages), q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least_id FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_LETTERS} AS payload_digest, CASE WHEN page_id = least_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least_id THEN least_id END AS refers_to FROM q"""
 
-ORACLES: dict[str, str] = {"op1_blob_ledger": _OP1, "op5_decontaminate": _OP5, "op6_jaccard_join": _OP6, "op7_warc": _OP7}
+_LIMITS = ", ".join([*(f"('top', {n}, {x})" for n, x in TOP.items()), *(f"('dup', {n}, {x})" for n, x in DUPLICATED.items())])
+_OP4 = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(list_transform(w, lambda x: length(x))) AS c FROM w),
+g AS (SELECT doc_id, n, i, hash(w[i:i + n - 1]) AS x FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, range(2, {max(DUPLICATED) + 1}) s(n))),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, n, x) AS k FROM g),
+best AS (SELECT doc_id, n, x FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY k DESC, i) AS r FROM k) WHERE r = 1 AND k > 1),
+hit AS (SELECT 'base' AS kind, doc_id, n, i FROM k WHERE n = 3 AND k > 1 UNION ALL SELECT 'dup', doc_id, n, i FROM k WHERE n >= {min(DUPLICATED)} AND k > 1 UNION ALL SELECT 'top', doc_id, n, i FROM k JOIN best USING (doc_id, n, x) WHERE n <= {max(TOP)}),
+cov AS (SELECT DISTINCT kind, doc_id, n, i + j AS i FROM hit, range(0, {max(DUPLICATED)}) q(j) WHERE j < n),
+inside AS (SELECT kind, doc_id, n, count(*) AS words, sum(c) AS chars FROM cov JOIN p USING (doc_id, i) GROUP BY ALL),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM w),
+lines AS (SELECT doc_id, count(*) AS n, sum(CAST(r > 1 AS INTEGER)) AS dup, sum(CASE WHEN r > 1 THEN length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) ELSE 0 END) AS dup_chars
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, l ORDER BY i) AS r FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]')) GROUP BY doc_id),
+base AS (SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+    coalesce(words, 0) AS n_repeat_words, coalesce(dup, 0) / greatest(coalesce(lines.n, 0), 1) > {LINES} OR coalesce(dup_chars, 0) / greatest(word_chars, 1) > {LINE_CHARS} AS bad_lines FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN (SELECT doc_id, words FROM inside WHERE kind = 'base') USING (doc_id)),
+over AS (SELECT DISTINCT doc_id FROM inside JOIN (VALUES {_LIMITS}) v(kind, n, most) USING (kind, n) JOIN base USING (doc_id) WHERE inside.chars / word_chars > most),
+said AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+    base_failed, NOT base_failed AND NOT bad_lines AND doc_id NOT IN (SELECT doc_id FROM over) AS kept FROM said"""
+
+ORACLES: dict[str, str] = {"op4_repetition": _OP4, "op1_blob_ledger": _OP1, "op5_decontaminate": _OP5, "op6_jaccard_join": _OP6, "op7_warc": _OP7}

@@ -63,7 +63,7 @@ def measured(text: bytes | None) -> dict:
             lines += 1
             if line in seen:
                 dup_lines += 1
-                dup_chars += sum(map(len, body.decode("utf-8", "replace").split()))
+                dup_chars += sum(len(w.decode("utf-8", "replace")) for w in body.split())
             seen.add(line)
     out = {"n_words": n, "word_chars": chars, "n_symbols": int(np.count_nonzero(kinds == _SYMBOL)), "n_dup_lines": dup_lines, "n_repeat_words": 0}
     if n >= 3:
