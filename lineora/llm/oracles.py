@@ -48,11 +48,15 @@ _OP7 = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) A
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_LETTERS} AS payload_digest, CASE WHEN page_id = least_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least_id THEN least_id END AS refers_to FROM q"""
 
 _LIMITS = ", ".join([*(f"('top', {n}, {x})" for n, x in TOP.items()), *(f"('dup', {n}, {x})" for n, x in DUPLICATED.items())])
+_LEADS = ", ".join(f"lead(x, {j}) OVER o AS w{j}" if j else "x AS w0" for j in range(max(DUPLICATED)))
+_GRAMS = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, i, hash({', '.join(f'w{j}' for j in range(n))}) AS x FROM a WHERE w{n - 1} IS NOT NULL" for n in range(2, max(DUPLICATED) + 1))
 _OP4 = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(list_transform(w, lambda x: length(x))) AS c FROM w),
-g AS (SELECT doc_id, n, i, hash(w[i:i + n - 1]) AS x FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, range(2, {max(DUPLICATED) + 1}) s(n))),
-k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, n, x) AS k FROM g),
-best AS (SELECT doc_id, n, x FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY k DESC, i) AS r FROM k) WHERE r = 1 AND k > 1),
+p AS (SELECT doc_id, i, x, length(x) AS c FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w)),
+a AS (SELECT doc_id, i, {_LEADS} FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS ({_GRAMS}),
+m AS (SELECT doc_id, n, x, count(*) AS k, min(i) AS f FROM g GROUP BY doc_id, n, x HAVING count(*) > 1),
+k AS (SELECT g.*, m.k FROM g JOIN m USING (doc_id, n, x)),
+best AS (SELECT doc_id, n, arg_max(x, k * 1000000000 - f) AS x FROM m GROUP BY doc_id, n),
 hit AS (SELECT 'base' AS kind, doc_id, n, i FROM k WHERE n = 3 AND k > 1 UNION ALL SELECT 'dup', doc_id, n, i FROM k WHERE n >= {min(DUPLICATED)} AND k > 1 UNION ALL SELECT 'top', doc_id, n, i FROM k JOIN best USING (doc_id, n, x) WHERE n <= {max(TOP)}),
 cov AS (SELECT DISTINCT kind, doc_id, n, i + j AS i FROM hit, range(0, {max(DUPLICATED)}) q(j) WHERE j < n),
 inside AS (SELECT kind, doc_id, n, count(*) AS words, sum(c) AS chars FROM cov JOIN p USING (doc_id, i) GROUP BY ALL),
