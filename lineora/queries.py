@@ -171,7 +171,7 @@ _KEYS = """WITH RECURSIVE e AS (
     UNION SELECT 'customer.' || o_custkey, 'orders.' || o_orderkey FROM orders UNION SELECT 'nation.' || s_nationkey, 'supplier.' || s_suppkey FROM supplier),
 nodes AS (SELECT s AS id FROM e UNION SELECT t FROM e),
 ends AS (SELECT id, id NOT IN (SELECT t FROM e) AS is_root, id NOT IN (SELECT s FROM e) AS is_leaf FROM nodes)"""
-_TOTALS = "SELECT o_custkey, SUM(o_totalprice) AS total, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey"
+_TOTALS = "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey"
 _SEGMENTS = f"SELECT c.c_custkey, c.c_name, c.c_mktsegment, t.total, t.n_orders FROM customer c JOIN ({_TOTALS}) t ON c.c_custkey = t.o_custkey"
 _PARTS = "SELECT l_partkey, COUNT(*) AS n FROM lineitem GROUP BY l_partkey"
 

@@ -2,7 +2,7 @@
 
 STATEMENTS = (
     """WITH order_totals AS (
-    SELECT o_custkey, SUM(o_totalprice) AS total, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey
+    SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey
 ), segments AS (
     SELECT c.c_custkey, c.c_name, c.c_mktsegment, t.total, t.n_orders FROM customer c JOIN order_totals t ON c.c_custkey = t.o_custkey
 )
