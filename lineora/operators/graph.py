@@ -219,7 +219,7 @@ def related(graph: Graph, names: str | list[str], direction: str, tables: bool =
     if direction not in ("upstream", "downstream"):
         raise ValueError(f"Unknown direction '{direction}'")
     names = [names] if isinstance(names, str) else list(names)
-    graph = graph.connected()
+    graph = Graph(cut(graph.nodes, "nodes"), cut(graph.edges, "edges")).connected()  # every round below reads them again
     queried = _found(graph, names, tables)
     seeds = graph.nodes.sparkSession.createDataFrame([(x,) for x in queried], "identifier string")
     reach = reachable(graph, seeds, direction).join(seeds, "identifier", "left_anti").groupBy("identifier").agg(F.min("hops").alias("hops"))
