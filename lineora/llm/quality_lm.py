@@ -1,74 +1,139 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model predicts characters, folded to CLASSES classes, from the ORDER - 1 before them; each language has its own.
-All trusted documents are counted: tasks count the n-grams of their rows and the counts are summed by (language,
-n-gram), sharded over the cluster. The n-gram space is CLASSES ** ORDER, so counts and probabilities of a language
-have a fixed largest size (about 13 and 7 MB) whatever the corpus; the probabilities of every n-gram, seen or not, are
-therefore worked out once and looked up by all documents. A document is kept if its perplexity is at most the
-`quantile` of its language's trusted documents, times `slack`.
+The model predicts code points, as they are written, from the ORDER - 1 before them; each language has its own. All
+trusted documents are counted, and everything that grows with the text is a table sharded by language and n-gram: the
+counts, the continuation counts of the lower orders and the totals of the contexts. Only discounts (three numbers a
+language and order) reach the driver.
+
+Documents join these tables by blocks: a task writes its documents in blocks of at most BLOCK characters (a longer
+document is a block of its own), each with its distinct n-grams. The distinct n-grams of all blocks are joined with the
+counts of every order, and a block's documents meet the probabilities of its n-grams in one cogroup. A document is kept
+if its perplexity is at most the `quantile` of its language's trusted documents, times `slack`.
 
 Defined cases: null and empty texts have no perplexity and are not kept; null languages, and languages without trusted
 text, use a model of all trusted text; without any trusted text every text with a character is kept; repeated rows are
-judged alike.
+judged alike; code points never seen in trusted text share what the discounts leave.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lineora.llm.common import cut
 
-ORDER = 4
-CLASSES = 36
+ORDER = 5
+#: Below the lowest order, all code points are equally likely.
+CLASSES = 0x110000
 QUANTILE, SLACK = 0.995, 1.1
 #: Up to so many trusted ids (8 bytes each) are broadcast; beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
+#: Up to so many contexts or n-grams of one order are broadcast; beyond, the join is shuffled.
+BROADCAST_GRAMS = 5_000
+#: Characters of a block, and of the pieces whose n-grams are made distinct at once.
+BLOCK, PIECE = 1 << 24, 1 << 21
 ALL = ""
 
 
-@functools.cache
-def _classes() -> np.ndarray:
-    """Class of each code point: 0-25 ASCII letters, 26-29 other letters, then digits, space, line end, punctuation, symbols, the rest."""
-    out = np.full(0x110000, 35, np.uint8)
-    for i in range(0x110000):
-        c = chr(i)
-        if i >= 0x250 and not c.isalnum() and not c.isspace():
-            continue
-        low = c.lower()
-        if len(low) == 1 and "a" <= low <= "z":
-            out[i] = ord(low) - 97
-        elif c.isalpha():
-            out[i] = 26 + ord(low[0]) % 4
-        elif c.isdigit():
-            out[i] = 30
-        elif c == "\n":
-            out[i] = 32
-        elif c.isspace():
-            out[i] = 31
-        elif c in ".,;:!?'\"-()":
-            out[i] = 33
-        elif i < 128:
-            out[i] = 34
-    return out
-
-
-def grams(text: str) -> np.ndarray:
-    """The code of the n-gram that ends at each character; the text is preceded by line ends."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.concatenate((np.full(ORDER - 1, 32, np.int64), _classes()[points].astype(np.int64)))
-    out = c[: len(points)]
-    for j in range(1, ORDER):
-        out = out * CLASSES + c[j : j + len(points)]
-    return out
+def points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class Codes:
+    """n-grams as int64: digits to the base of the alphabet's size, with ranks among `known` where they would overflow."""
+
+    def __init__(self, points: np.ndarray):
+        self.alphabet = np.unique(points)
+        self.base, self.ranks = max(2, len(self.alphabet)), {}
+        self.digit = np.zeros(0x110000, np.int64)
+        self.digit[self.alphabet] = np.arange(len(self.alphabet))
+
+    def encode(self, columns: list[np.ndarray], learn: bool) -> np.ndarray:
+        """Codes of the n-grams whose i-th code points are columns[i]. learn: these are all n-grams there are."""
+        out, size = self.digit[columns[0]], self.base
+        for i, c in enumerate(columns[1:], 1):
+            if size * self.base >= 1 << 63:
+                if learn:
+                    self.ranks[i] = np.unique(out)
+                out, size = np.searchsorted(self.ranks[i], out), len(self.ranks[i])
+            out, size = out * self.base + self.digit[c], size * self.base
+        return out
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """A row of code points for each code."""
+        columns = []
+        for i in reversed(range(1, ORDER)):
+            codes, last = np.divmod(codes, self.base)
+            columns.append(self.alphabet[last])
+            if i in self.ranks:
+                codes = self.ranks[i][codes]
+        return np.stack([self.alphabet[codes], *reversed(columns)], 1).astype(np.uint32)
+
+
+def _merged(points: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of code points and their counts (n: of the rows given)."""
+    codes = Codes(points)
+    keys = codes.encode(list(points.T), True)
+    if n is None:
+        keys, n = np.unique(keys, return_counts=True)
+    else:
+        keys, at = np.unique(keys, return_inverse=True)
+        n = np.bincount(at, n, len(keys)).astype(np.int64)
+    return codes.decode(keys), n
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams that end at a character of the texts, and their counts; each text is preceded by line ends."""
+    start = np.full(ORDER - 1, 10, np.uint32)
+    points = np.concatenate([x for t in texts for x in (start, points_of(t))])
+    keep = np.ones(len(points), bool)
+    at = np.cumsum([0, *(len(t) + ORDER - 1 for t in texts[:-1])])
+    for j in range(ORDER - 1):
+        keep[at + j] = False
+    codes = Codes(points)
+    n = len(points) - ORDER + 1
+    found = codes.encode([points[j : j + n] for j in range(ORDER)], True)[keep[ORDER - 1 :]]
+    keys, counts = np.unique(found, return_counts=True)
+    return codes.decode(keys), counts
+
+
+class _Gathered:
+    """Distinct n-grams and counts by model name."""
+
+    def __init__(self):
+        self.texts, self.size, self.found = {}, {}, {}
+
+    def add(self, name: str, text: str) -> None:
+        self.texts.setdefault(name, []).append(text)
+        self.size[name] = self.size.get(name, 0) + len(text)
+        if self.size[name] >= PIECE:
+            self._close(name)
+
+    def _close(self, name: str) -> None:
+        if texts := self.texts.pop(name, None):
+            parts = self.found.setdefault(name, [])
+            parts.append(grams(texts))
+            if len(parts) > 8:
+                parts[:] = [_merged(np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts]))]
+        self.size[name] = 0
+
+    def all(self):
+        """(name, n-grams as strings, counts)"""
+        for name in [*self.size]:
+            self._close(name)
+            parts = self.found[name]
+            points, n = parts[0] if len(parts) == 1 else _merged(np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts]))
+            body = points.tobytes().decode("utf-32-le", "surrogatepass")
+            yield name, pa.array([body[i : i + ORDER] for i in range(0, len(body), ORDER)], pa.string()), n
 
 
 def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """log p(last | rest) for every n-gram: interpolated modified Kneser-Ney. counts: a cube with ORDER axes."""
+    """log p(last | rest) for every n-gram of a small alphabet: the model of trained() in dense form."""
     p = np.full(CLASSES, 1 / CLASSES)
     for order in range(1, counts.ndim + 1):
         c = counts if order == counts.ndim else _continued(counts, order)
@@ -94,50 +159,146 @@ def _continued(counts: np.ndarray, order: int) -> np.ndarray:
 
 
 def _count(batches):
-    sums: dict[str, np.ndarray] = {}
+    held, size = _Gathered(), 0
     for batch in batches:
         for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
             if body := text.as_py():
-                name = lang.as_py() or ALL
-                if name not in sums:
-                    sums[name] = np.zeros(CLASSES**ORDER, np.int32)
-                np.add.at(sums[name], grams(body), 1)
-    for name, n in sums.items():
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "gram", "n"])
+                held.add(lang.as_py() or ALL, body)
+                size += len(body)
+        if size >= BLOCK:
+            yield from _counted(held)
+            held, size = _Gathered(), 0
+    yield from _counted(held)
+
 
+def _counted(held: _Gathered):
+    for name, found, n in held.all():
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), found, pa.array(n, pa.int64())], ["name", "gram", "n"])
 
-def trained(trusted: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """log p of every n-gram, by language; ALL holds the model of all trusted text. Empty without trusted text."""
+
+def _discounts(of: dict[int, int]) -> list[float]:
+    """What an n-gram met once, twice or more often gives away. of: how many n-grams have each of the counts 1 to 4."""
+    n1, n2, n3, n4 = (of.get(i, 0) for i in range(1, 5))
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+    return [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
+
+
+def trained(trusted: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], list[tuple[DataFrame, DataFrame]]]:
+    """Names of the models (languages; ALL is that of all trusted text), and for each order two tables: (name, gram, own:
+    its share of the context's total) and (name, context, rest: what is left to the lower order)."""
     rows = trusted.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    found = rows.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # CLASSES ** ORDER rows a language at most
-    cubes: dict[str, np.ndarray] = {}
-    for name, part in found.groupby("lang"):
-        cube = np.zeros(CLASSES**ORDER, np.int64)
-        cube[part["gram"].to_numpy()] = part["n"].to_numpy()
-        cubes[name] = cube
-    if cubes:
-        cubes[ALL] = sum(cubes.values())
-    return {k: kneser_ney(v.reshape((CLASSES,) * ORDER)).astype(np.float32).ravel() for k, v in cubes.items()}
-
-
-def scored(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text", lang: str = "lang") -> DataFrame:
-    """Narrow docs (they are passed through Python) with perplexity, without the text."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != text]
-
-    def score(batches):
-        model = held.value
+    by_lang = cut(rows.mapInArrow(_count, "name string, gram string, n long").groupBy("name", "gram").agg(F.sum("n").alias("n")), "counts")
+    names = sorted({r[0] for r in by_lang.select("name").distinct().collect()})  # languages
+    if not names:
+        return [], []
+    pooled = by_lang.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("name"), "gram", "n")
+    counts = cut(by_lang.where(F.col("name") != ALL).unionByName(pooled), "counts")
+    tables = []
+    for order in range(ORDER, 0, -1):
+        if order < ORDER:  # how many different code points precede it
+            counts = cut(counts.groupBy("name", F.substring("gram", 2, order).alias("gram")).agg(F.count("*").alias("n")), "counts")
+        of: dict[str, dict] = {}
+        for r in counts.where("n <= 4").groupBy("name", "n").count().collect():  # four rows a language
+            of.setdefault(r[0], {})[r[1]] = r[2]
+        lost = F.create_map(*(x for name in {*names, ALL} for x in (F.lit(name), F.array(*map(F.lit, _discounts(of.get(name, {})))))))
+        less = F.element_at(lost[F.col("name")], F.least("n", F.lit(3)).cast("int"))
+        shares = counts.select("name", "gram", "n", less.alias("less"), F.substring("gram", 1, order - 1).alias("context"))
+        totals = cut(shares.groupBy("name", "context").agg(F.sum("n").alias("total"), F.sum("less").alias("rest")), "totals")
+        own = cut(_met(shares, totals.drop("rest"), ["name", "context"]).select("name", "gram", ((F.col("n") - F.col("less")) / F.col("total")).alias("own")), "shares")
+        tables.insert(0, (own, totals.select("name", "context", (F.col("rest") / F.col("total")).alias("rest"))))
+    return sorted({*names, ALL}), tables
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join; right is broadcast if it is counted small."""
+    small = right.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    return left.join(F.broadcast(right) if small else right.hint("merge"), keys, "left")
+
+
+def probabilities(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """asked (name, gram), each once, with log_p of the gram's last code point after the others."""
+    p = F.lit(1 / CLASSES)
+    for order, (own, rest) in enumerate(tables, 1):
+        key = F.substring("gram", ORDER - order + 1, order)
+        asked = asked.withColumns({"__gram": key, "__context": F.substring(key, 1, order - 1)})
+        asked = _met(asked, own.withColumnsRenamed({"gram": "__gram", "own": "__own"}), ["name", "__gram"])
+        asked = _met(asked, rest.withColumnsRenamed({"context": "__context", "rest": "__rest"}), ["name", "__context"])
+        asked = asked.withColumn("__p", F.coalesce("__own", F.lit(0.0)) + F.coalesce("__rest", F.lit(1.0)) * p).select("name", "gram", "__p")
+        p = F.col("__p")
+    return asked.select("name", "gram", F.log("__p").alias("log_p"))
+
+
+def _blocked(names: list[str]):
+    """Rows of documents (name null) and of their block's distinct n-grams (in text)."""
+    known = {*names}
+
+    def ends(held, block, id_type):
+        for name, found, _ in held.all():
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, id_type), pa.nulls(n, pa.string()), pa.array([name] * n, pa.string()), found], ["block", "doc_id", "lang", "name", "text"])
+
+    def blocked(batches):
+        held, size, block, batch = _Gathered(), 0, TaskContext.get().partitionId() << 32, None
         for batch in batches:
-            out = []
-            for x, name in zip(batch.column(text), batch.column(lang), strict=True):
-                body = x.as_py()
-                logs = model.get(name.as_py() or ALL, model.get(ALL))
-                out.append(None if not body else 1.0 if logs is None else float(np.exp(-logs[grams(body)].mean(dtype=np.float64))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(out, pa.float64())], [*others, "perplexity"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text) + ", perplexity double"
-    return docs.mapInArrow(score, schema)
+            at = []
+            for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
+                if body := text.as_py():
+                    if size and size + len(body) > BLOCK:
+                        yield from ends(held, block, batch.column("doc_id").type)
+                        held, size, block = _Gathered(), 0, block + 1
+                    name = lang.as_py() or ALL
+                    held.add(name if name in known else ALL, body)
+                    size += len(body)
+                at.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), batch.column("doc_id"), batch.column("lang"), pa.nulls(len(at), pa.string()), batch.column("text")], ["block", "doc_id", "lang", "name", "text"])
+        if batch is not None:
+            yield from ends(held, block, batch.column("doc_id").type)
+
+    return blocked
+
+
+def _perplexities(names: list[str]):
+    known = {*names}
+
+    def judged(docs: pa.Table, found: pa.Table) -> pa.Table:
+        models = {}
+        for name in found.column("name").unique().to_pylist():
+            part = found.filter(pa.compute.equal(found.column("name"), name))
+            points = points_of("".join(part.column("gram").to_pylist())).reshape(-1, ORDER)
+            codes = Codes(points)
+            keys = codes.encode(list(points.T), True)
+            order = np.argsort(keys)
+            models[name] = codes, keys[order], part.column("log_p").to_numpy()[order]
+        out, start = [], np.full(ORDER - 1, 10, np.uint32)
+        for text, lang in zip(docs.column("text"), docs.column("lang"), strict=True):
+            if not (body := text.as_py()):
+                out.append(None)
+                continue
+            name = lang.as_py() or ALL
+            codes, keys, logs = models[name if name in known else ALL]
+            points = np.concatenate((start, points_of(body)))
+            asked = codes.encode([points[j : j + len(body)] for j in range(ORDER)], False)
+            out.append(float(np.exp(-logs[np.searchsorted(keys, asked)].mean())))
+        return pa.table([docs.column("doc_id"), docs.column("lang"), pa.array(out, pa.float64())], ["doc_id", "lang", "perplexity"])
+
+    return judged
+
+
+def scored(docs: DataFrame, model: tuple[list[str], list[tuple[DataFrame, DataFrame]]]) -> DataFrame:
+    """doc_id, lang, perplexity for every row of docs (doc_id, text, lang)."""
+    names, tables = model
+    if not names:
+        return docs.select("doc_id", "lang", F.when(F.length("text") > 0, 1.0).alias("perplexity"))
+    kind = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_id", kind), *(T.StructField(x, T.StringType()) for x in ("lang", "name", "text"))])
+    blocks = cut(docs.select("doc_id", "lang", "text").mapInArrow(_blocked(names), schema), "blocks")
+    met = blocks.where("name is not null").select(F.col("block").alias("block"), "name", F.col("text").alias("gram"))
+    asked = cut(probabilities(met.select("name", "gram").distinct(), tables), "probabilities")
+    found = met.join(asked.hint("merge"), ["name", "gram"])
+    texts = blocks.where("name is null").select("block", "doc_id", "lang", "text")
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("lang", T.StringType()), T.StructField("perplexity", T.DoubleType())])
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_perplexities(names), schema)
 
 
 def classified(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", trusted: str = "quality = 1 and coalesce(toxic, 0) = 0", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -75,6 +76,40 @@ def test_kneser_ney_is_a_distribution():
     assert np.allclose(p.sum(-1), 1) and p.min() > 0
 
 
+def test_sharded_model_is_the_dense_one(spark, monkeypatch):
+    alphabet = "aé漢1\n"
+    monkeypatch.setattr(quality_lm, "CLASSES", len(alphabet))
+    monkeypatch.setattr(quality_lm, "BROADCAST_GRAMS", 3)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(alphabet, (5, 4, 3, 2, 1), k=rng.randrange(1, 90))) for _ in range(40)]
+    counts = np.zeros((5,) * quality_lm.ORDER, np.int64)
+    ends = lambda t: zip(*([alphabet.index(c) for c in ("\n" * (quality_lm.ORDER - 1) + t)[i : i + len(t)]] for i in range(quality_lm.ORDER)), strict=True)
+    for t in texts[:30]:
+        for g in ends(t):
+            counts[g] += 1
+    logs = quality_lm.kneser_ney(counts)
+    df = spark.createDataFrame([(i, t, "x" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    model = quality_lm.trained(df.where("doc_id < 30").withColumn("lang", F.lit(None).cast("string")))
+    got = {r["doc_id"]: r["perplexity"] for r in quality_lm.scored(df, model).collect()}
+    for i, t in enumerate(texts):
+        assert np.isclose(got[i], np.exp(-np.mean([logs[g] for g in ends(t)])))
+
+
+def test_codes_of_a_large_alphabet():
+    points = np.random.default_rng(2).integers(0, 0x110000, 30_000).astype(np.uint32)
+    rows = np.concatenate((points.reshape(-1, quality_lm.ORDER), points.reshape(-1, quality_lm.ORDER)[:50]))
+    found, n = quality_lm._merged(rows)
+    assert {tuple(x): c for x, c in zip(found.tolist(), n.tolist(), strict=True)} == Counter(map(tuple, rows.tolist()))
+
+
+def test_letters_are_not_folded(spark):
+    rows = [(i, "жук" * 40, "ru") for i in range(20)] + [(90, "".join(chr(ord(c) + 4) for c in "жук" * 40), "ru")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality_lm.classified(df, labels).collect()}
+    assert got[0] and not got[90]
+
+
 def test_quality(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, 80), "en", "s") for i in range(60)] + [(90, "%%% ### $$$ &&& " * 20, "en", "s"), (91, None, "en", "s"), (92, prose(rng, 80), None, "s"), (93, "", "xx", "s")]
