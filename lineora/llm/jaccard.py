@@ -234,8 +234,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, maps: DataFram
     return cut(met.where(reaches("ta", "tb")).select("a", "b"), "links")
 
 
-def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """For each row of docs: doc_id, text_hash, n_shingles, component_id (smallest doc_id reachable by links)."""
+def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, keyed: bool = False) -> DataFrame:
+    """For each row of docs: doc_id, text_hash, n_shingles, component_id (smallest doc_id reachable by links). keyed: and
+    root, a number of the component itself, null for texts without words."""
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scanned = cut(texts.mapInArrow(_scan(width), "kind byte, doc_id long, text_hash long, sig long, n long, bitmap array<long>"), "scan")
@@ -276,16 +277,32 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     placed = nodes.join(last, "sig", "left").select("sig", "least_id", F.coalesce("root", "sig").alias("root"))
     named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    final = placed.join(named, "root").select("sig", "component_id")
-    return rows.join(final, "sig", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    final = placed.join(named, "root").select("sig", "component_id", "root")
+    out = rows.join(final, "sig", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
+    return out if keyed else out.drop("root")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id names their component; repeated rows of that id stay once. All columns of docs."""
-    found = cut(similarity_classes(docs, doc_id, text, **options).select("doc_id", "component_id"), "classes")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    """One row of docs for each component: of the rows with the smallest (doc_id, text hash), null ids last. Rows without
+    words are in no component: of those equal in id and text one stays. All columns of docs."""
+
+    @F.pandas_udf("long")
+    def text_hash(texts):
+        import pandas as pd
+
+        return pd.Series([-1 if x is None else xxhash.xxh3_64_intdigest(x.encode()) >> 1 for x in texts], dtype="int64")
+
+    found = cut(similarity_classes(docs, doc_id, text, keyed=True, **options).select("doc_id", "text_hash", "root"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
+    chosen = found.where("root is not null").groupBy("root").agg(first.alias("first")).select("first.doc_id", "first.text_hash")
+    rows = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max("root").alias("root"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["__id"]) & (a["text_hash"] == b["__hash"])
+    stays = chosen.toDF("__id", "__hash")
+    gone = rows.where("root is not null").join(stays, same(rows, stays), "left_anti").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    gone = cut(gone, "gone")
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, docs[doc_id].cast("long").eqNullSafe(F.col("__id")), "left_anti")
-    twice = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates([doc_id])
+    hashed = docs.withColumn("__of", text_hash(F.col(text).cast("string")))
+    kept = hashed.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__hash")), "left_anti")
+    twice = not rows.where("n > 1").isEmpty()
+    return (kept.dropDuplicates([doc_id, "__of"]) if twice else kept).drop("__of")

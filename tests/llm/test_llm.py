@@ -242,6 +242,17 @@ def test_one_of_each(spark, docs):
     assert jaccard.similarity_classes(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, d), (5, d), (5, e), (9, e), (None, None), (None, ""), (7, f), (7, f)]
+    for part in (rows, rows[2:5]):
+        df = spark.createDataFrame(part, "doc_id long, text string").repartition(3)
+        got = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(df).collect())
+        want = {(1, a), (None, b), (None, c), (2, d), (5, e), (7, f), (None, ""), (None, None)}
+        assert got == Counter(want if part is rows else {(None, b), (None, c)})
+
+
 def test_bitmap_bound():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
