@@ -2,16 +2,17 @@
 
 A page is cut into text blocks; blocks in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments are dropped by their markup. Where a page declares its article (article, main, or an articleBody
-property), the article's blocks are the text. Pages that declare none are compared with the nearest page of their host:
-undeclared pages are ordered by (host, URL path), neighbours in this order are paired, their blocks are aligned by
-longest common subsequence, and shared blocks are deleted as part of the host's template. Declared articles are not
-compared: copies and near copies of an article would delete each other.
+property), the article's blocks are the text. Pages that declare none are compared with the nearest page of their host
+that is no copy: the distinct block lists of undeclared pages are ordered by (host, URL path), each is paired with the
+nearest before it (or else after it) outside its run of near copies, their blocks are aligned by longest common
+subsequence, and shared blocks are deleted as part of the host's template. Near copies share COPY of the characters of
+one of them. Declared articles are not compared.
 
 The order is made by ranges and neighbours are passed between ranges, so that a large host is no single task.
 
-Defined cases: null, empty and textless pages give an empty text; a page without a neighbour on its host keeps its
-blocks; a null url is a host of its own with an empty path; repeated rows are neighbours of each other; unclosed
-and misnested tags are tolerated.
+Defined cases: null, empty and textless pages give an empty text; a page without a neighbour on its host, or with
+near copies only, keeps its blocks; a null url is a host of its own with an empty path; copies and repeated rows share
+one result; unclosed and misnested tags are tolerated.
 """
 
 from __future__ import annotations
@@ -138,32 +139,65 @@ def _parse(batches):
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([d for d, _ in found], pa.bool_()), pa.array([b for _, b in found], pa.list_(pa.string()))], ["page_id", "url", "declared", "blocks"])
 
 
-def _own_lines(lines, other):
+#: Pages that share so much of the characters of one of them are copies, not pages of one template.
+COPY = 0.8
+
+
+def _compared(a: list[str], b: list[str]) -> tuple[set[int], bool]:
+    """Indexes of a's blocks shared with b, and whether the pages are near copies."""
+    shared = shared_lines(a, b)
+    same = sum(len(a[i]) for i in shared)
+    return shared, same >= COPY * min(sum(map(len, a)), sum(map(len, b)))
+
+
+def _is_copy(lines, other):
+    import pandas as pd
+
+    return pd.Series([b is not None and _compared(list(a), list(b))[1] for a, b in zip(lines, other, strict=True)], dtype=bool)
+
+
+def _own_lines(lines, before, after):
     import pandas as pd
 
     out = []
-    for a, b in zip(lines, other, strict=True):
+    for a, *others in zip(lines, before, after, strict=True):
         a = list(a)
-        gone = shared_lines(a, list(b)) if b is not None else set()
+        found = (_compared(a, list(b)) for b in others if b is not None)
+        gone = next((shared for shared, copy in found if not copy), ())
         out.append([x for i, x in enumerate(a) if i not in gone])
     return pd.Series(out)
 
 
 def _without_template(pages: DataFrame) -> DataFrame:
-    """pages: page_id, url, blocks. Blocks shared with the nearest page by (host, path) are gone."""
+    """pages: page_id, url, blocks. Blocks shared with the nearest page by (host, path) that is no copy are gone."""
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     keys = ["host", "path", "page_id", "mark"]
-    rows = pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit("")), "mark": F.xxhash64("blocks")})
-    ranged = cut(rows.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), "ranges")
+    rows = pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit("")), "mark": F.sha2(F.to_json(F.struct("blocks")), 256)})
+    place = F.min(F.struct("path", "page_id")).alias("place")
+    lists = rows.groupBy("host", "mark").agg(place, F.first("blocks").alias("blocks")).select("host", "mark", "place.*", "blocks")
+    ranged = cut(lists.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), "ranges")
     spot = F.struct("host", "blocks")
     order = Window.partitionBy("range").orderBy(*keys)
-    ends = ranged.groupBy("range").agg(F.min_by(spot, F.struct(*keys)).alias("first"), F.max_by(spot, F.struct(*keys)).alias("last"))
     along = Window.orderBy("range")  # a row for each range
-    ends = ends.select(F.col("range").alias("__range"), F.lag("last").over(along).alias("before"), F.lead("first").over(along).alias("after"))
-    near = ranged.join(ends, F.col("range") == F.col("__range")).withColumns({"prev": F.coalesce(F.lag(spot).over(order), "before"), "succ": F.coalesce(F.lead(spot).over(order), "after")})
+    ends = ranged.groupBy("range").agg(F.max_by(spot, F.struct(*keys)).alias("last")).select(F.col("range").alias("__range"), F.lag("last").over(along).alias("__last"))
     same = lambda side: F.when(F.col(f"{side}.host") == F.col("host"), F.col(f"{side}.blocks"))
-    return near.withColumn("other", F.coalesce(same("prev"), same("succ"))).select("page_id", "url", F.pandas_udf(_own_lines, "array<string>")("blocks", "other").alias("blocks"))
+    near = ranged.join(ends, F.col("range") == F.col("__range")).withColumn("prev", F.coalesce(F.lag(spot).over(order), "__last")).drop("__range", "__last")
+    # a run of near copies begins where a page is none of the page before it
+    begins = ~F.pandas_udf(_is_copy, "boolean")("blocks", same("prev"))
+    runs = cut(near.withColumn("begins", begins).withColumns({"left": F.when(F.col("begins"), F.struct("prev")), "right": F.when(F.col("begins"), spot)}), "runs")
+    left = F.last("left", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    back = Window.partitionBy("range").orderBy(*(F.col(k).desc() for k in keys))
+    right = F.last("right", True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    of_range = runs.groupBy("range").agg(F.max_by("left", F.when(F.col("begins"), F.struct(*keys))).alias("left"), F.min_by("right", F.when(F.col("begins"), F.struct(*keys))).alias("right"))
+    earlier = F.last("left", True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    later = F.first("right", True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    of_range = of_range.select(F.col("range").alias("__range"), earlier.alias("__left"), later.alias("__right"))
+    met = runs.withColumns({"__l": left, "__r": right}).join(of_range, F.col("range") == F.col("__range"))
+    met = met.select("host", "mark", "blocks", F.coalesce("__l", "__left")["prev"].alias("before"), F.coalesce("__r", "__right").alias("after"))
+    own = met.select(F.col("host").alias("__host"), F.col("mark").alias("__mark"), F.pandas_udf(_own_lines, "array<string>")("blocks", same("before"), same("after")).alias("own"))
+    own = cut(own, "own")
+    return rows.join(own, (F.col("host") == F.col("__host")) & (F.col("mark") == F.col("__mark"))).select("page_id", "url", F.col("own").alias("blocks"))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

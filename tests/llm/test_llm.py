@@ -375,6 +375,21 @@ def test_template_lines_go(spark):
     assert got == {i: f"own {i}\nmore {i}" for i in range(12)} | {20: "site name\nkept\nimprint"}
 
 
+def test_copies_keep_their_text(spark):
+    article = ["a long opening paragraph of the story", "its second paragraph goes on", "and a third one ends it", "with a last remark"]
+    menu = ["Site of news"]
+    page = lambda lines: "".join(f"<p>{x}</p>" for x in lines)
+    near = [*article[:3], "with one change"]
+    rows = [(i, f"http://h/a{i}", page(menu + article)) for i in range(5)] + [(0, "http://h/a0", page(menu + article)), (10, "http://h/a6", page(menu + near)), (11, "http://h/z", page([*menu, "something else entirely, and long enough"]))]
+    rows += [(20, "http://g/a", page(menu + article)), (21, "http://g/b", page(menu + article)), (None, None, page(article)), (None, None, page(article))]
+    for n in (1, 3):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)
+        got = Counter((r["page_id"], r["text"]) for r in extract.main_text(df).collect())
+        want = Counter({(i, "\n".join(article)): 1 + (i == 0) for i in range(5)})
+        want += Counter({(10, "\n".join(near)): 1, (11, "something else entirely, and long enough"): 1, (20, "\n".join(menu + article)): 1, (21, "\n".join(menu + article)): 1, (None, "\n".join(article)): 2})
+        assert got == want
+
+
 def test_longest_common_subsequence():
     rng = random.Random(0)
     for _ in range(50):
