@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lineora.llm.common import cut
+
 DIMENSIONS = 512
 SEED = 20_240_601
 UNKNOWN = "und"
@@ -123,8 +125,8 @@ def prototypes(labelled: DataFrame, text: str = "text", label: str = "lang") ->
     return {k: v / (np.linalg.norm(v) or 1) for k, v in sorted(out.items())}
 
 
-def predicted(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (cosine with its prototype, at least 0)."""
+def predicted(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text", sized: str | None = None) -> DataFrame:
+    """docs with lang_pred and score (cosine with its prototype, at least 0). sized: a column for the number of trigrams."""
     labels, matrix = list(learned), np.array(list(learned.values())).reshape(-1, DIMENSIONS)
     held = docs.sparkSession.sparkContext.broadcast((labels, matrix))
     clear = docs.drop("lang_pred", "score")
@@ -134,9 +136,10 @@ def predicted(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text
         labels, matrix = held.value
         space = Space()
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, sizes = [], [], []
             for x in batch.column(at):
                 keys, counts = trigrams(x.as_py())
+                sizes.append(int(counts.sum()))
                 if not len(keys) or not labels:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
@@ -145,18 +148,30 @@ def predicted(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text
                 near = matrix @ vector / (np.linalg.norm(vector) or 1)
                 langs.append(labels[best := int(np.argmax(near))])
                 scores.append(min(1.0, max(0.0, float(near[best]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            more = [pa.array(sizes, pa.int64())] if sized else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more], [*batch.schema.names, "lang_pred", "score", *([sized] if sized else [])])
 
-    schema = T.StructType([*clear.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*clear.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(sized, T.LongType())] if sized else [])])
     return clear.mapInArrow(guess, schema)
 
 
 #: Below this cosine with every prototype, a text is in none of the languages.
 LEAST_SCORE = 0.05
+#: Texts of fewer trigrams are held to LEAST_SCORE only: their cosines are no larger than those of noise.
+SHORT = 32
+#: Other texts reach this quantile of the cosines of their language's labelled texts, and at least four standard
+#: deviations of an unrelated text's cosine.
+QUANTILE, NOISE = 0.005, 4 / DIMENSIONS**0.5
 
 
 def in_known_language(docs: DataFrame, text: str = "text", label: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs in a language learned from their own labels; all their columns."""
-    found = predicted(docs.withColumnsRenamed({c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns}), prototypes(docs, text, label), text)
-    found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
-    return found.toDF(*docs.columns)
+    renamed = {c: f"__{c}" for c in ("lang_pred", "score", "n_trigrams") if c in docs.columns}
+    learned = prototypes(docs, text, label)
+    name, of = renamed.get(label, label), renamed.get(text, text)
+    found = cut(predicted(docs.withColumnsRenamed(renamed), learned, of, "n_trigrams"), "languages")
+    own = found.where((F.col(name).cast("string") == F.col("lang_pred")) & (F.col("n_trigrams") >= SHORT))
+    limits = own.groupBy(F.col("lang_pred").alias("__of")).agg(F.percentile_approx("score", QUANTILE, 10_000).alias("__limit"))
+    found = found.join(F.broadcast(limits), F.col("lang_pred") == F.col("__of"), "left")  # a row for each language
+    limit = F.when(F.col("n_trigrams") < SHORT, F.lit(least)).otherwise(F.greatest(F.lit(least), F.lit(NOISE), "__limit"))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= limit)).drop("lang_pred", "score", "n_trigrams", "__of", "__limit").toDF(*docs.columns)

@@ -313,6 +313,17 @@ def test_language_id(spark):
     assert langid.in_known_language(df).columns == df.columns and langid.in_known_language(df).count() == 41
 
 
+def test_foreign_and_noise_texts_are_in_no_known_language(spark):
+    rng = random.Random(11)
+    words = {x: ["".join(rng.choices(letters, k=rng.randrange(2, 7))) for _ in range(60)] for x, letters in (("en", "etaoinshrdlu"), ("fr", "esaitnrulodé"))}
+    rows = [(i, " ".join(rng.choices(words[x], k=120)), x) for i, x in enumerate(("en", "fr") * 40)]
+    foreign = [("αβγδεζηθικλμνξοπρστυφχψω", i) for i in range(20)] + [("абвгдежзиклмнопрстуфхцчшщ", i) for i in range(20)] + [("abcdefghijklmnopqrstuvwxyz", i) for i in range(20)]
+    rows += [(1000 + i, " ".join("".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(200)), None) for i, (letters, _) in enumerate(foreign)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"] for r in langid.in_known_language(df).collect()}
+    assert got == {*range(80)}
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     space = langid.Space()
     keys, counts = langid.trigrams("abab")
