@@ -9,7 +9,8 @@ and right; it counts only if the extended run of equal words reaches `span`, so
 Benchmark items shorter than `span` words (but not empty) are one window of their own length: for each such length in
 the benchmark all grams of that length are compared.
 
-Defined cases: null and empty texts have no words and no hits; null item ids never count as an item; repeated rows are
+Defined cases: null and empty texts have no words and no hits; items with a null id are none of a row's
+hits, but decontaminated() drops rows that share a window with them; repeated rows are
 returned as often as they come; empty tables give an empty result; other columns are ignored.
 """
 
@@ -182,7 +183,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that share no window with the benchmark; all their columns."""
+    """The rows of docs that share no window with the benchmark, items without an id included; all their columns."""
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
+    benchmark = benchmark.withColumn(options.get("item_id", "item_id"), F.lit(0))  # whose window it is doesn't matter here
     bad = benchmark_hits(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     return docs.join(bad, docs[doc_id].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text]) == bad["__hash"]), "left_anti")

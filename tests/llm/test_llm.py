@@ -211,6 +211,14 @@ def test_decontamination(spark, monkeypatch, bound):
     assert decontaminate.benchmark_hits(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_items_without_an_id_decontaminate(spark):
+    rng = random.Random(12)
+    long, short = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (20, 4))
+    docs = spark.createDataFrame([(1, f"a b {long} c"), (2, f"d {short} e"), (3, "f g h")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, long), (None, short)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.decontaminated(docs, bench).collect()] == [3]
+
+
 # 6
 
 
