@@ -70,4 +70,44 @@ said AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_word
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
     base_failed, NOT base_failed AND NOT bad_lines AND doc_id NOT IN (SELECT doc_id FROM over) AS kept FROM said"""
 
-ORACLES: dict[str, str] = {"op4_repetition": _OP4, "op1_blob_ledger": _OP1, "op5_decontaminate": _OP5, "op6_jaccard_join": _OP6, "op7_warc": _OP7}
+
+
+def _op2_sql() -> str:
+    """The model in SQL: counts, continuation counts, discounts, and the sum of each document's weights."""
+    d = ", ".join(
+        f"CASE WHEN n1 = 0 THEN {i + 0.5} WHEN n{i + 1} = 0 THEN {i + 0.5 if i else 0.5} ELSE least(greatest({i + 1} - {i + 2} * (n1 / (n1 + 2 * n2)) * n{i + 2} / n{i + 1}, 0.05), {i + 0.95}) END AS d{i + 1}" for i in range(3)
+    )
+    of = lambda t: f"SELECT m, {d} FROM (SELECT m, CAST(count(*) FILTER (n = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (n = 2) AS DOUBLE) AS n2, CAST(count(*) FILTER (n = 3) AS DOUBLE) AS n3, CAST(count(*) FILTER (n = 4) AS DOUBLE) AS n4 FROM {t} GROUP BY m)"
+    totals = lambda t, o, keys: f"SELECT m, {keys}c, k, d1 * n1 + d2 * n2 + d3 * n3 AS s FROM (SELECT m, {keys}CAST(sum(n) AS BIGINT) AS c, count(*) AS k, count(*) FILTER (n = 1) AS n1, count(*) FILTER (n = 2) AS n2, count(*) FILTER (n > 2) AS n3 FROM {t} GROUP BY ALL) JOIN {o} USING (m)"
+    lost = "CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"
+    units = lambda x: f"CAST(round(({x}) * 1048576) AS BIGINT)"
+    return rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x, substr(md5(text), 1, 1) IN ('0', '1', '2') AS held FROM documents),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0), bad AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0),
+own AS (SELECT lang, x FROM d SEMI JOIN good USING (doc_id) WHERE NOT held AND len(x) > 0),
+docs AS MATERIALIZED (SELECT r, doc_id, lang, held, len(x) + 1 AS tokens, CASE WHEN lang IN (SELECT lang FROM own WHERE lang IS NOT NULL) THEN 'l' || lang ELSE 'all' END AS m, ['<s> ', '<s> '] || x || ['</s> '] AS f FROM d),
+framed AS (SELECT m, ['<s> ', '<s> '] || x || ['</s> '] AS f FROM (SELECT 'l' || lang AS m, x FROM own WHERE lang IS NOT NULL UNION ALL SELECT 'all', x FROM own)),
+c3 AS MATERIALIZED (SELECT m, u, v, w, count(*) AS n FROM (SELECT m, unnest(f[1:len(f) - 2]) AS u, unnest(f[2:len(f) - 1]) AS v, unnest(f[3:]) AS w FROM framed) GROUP BY ALL),
+c2 AS MATERIALIZED (SELECT m, v, w, count(*) AS n FROM c3 GROUP BY ALL), c1 AS MATERIALIZED (SELECT m, w, count(*) AS n FROM c2 GROUP BY ALL),
+o3 AS ({of("c3")}), o2 AS ({of("c2")}), o1 AS ({of("c1")}),
+g3 AS MATERIALIZED (SELECT c3.*, {lost} AS d FROM c3 JOIN o3 USING (m)), g2 AS MATERIALIZED (SELECT c2.*, {lost} AS d FROM c2 JOIN o2 USING (m)), g1 AS MATERIALIZED (SELECT c1.*, {lost} AS d FROM c1 JOIN o1 USING (m)),
+s3 AS MATERIALIZED ({totals("c3", "o3", "u, v, ")}), s2 AS MATERIALIZED ({totals("c2", "o2", "v, ")}), s1 AS (SELECT m, c, s / c / (k + 1) AS unseen FROM ({totals("c1", "o1", "")})),
+p1 AS MATERIALIZED (SELECT m, w, (n - d) / c + unseen AS p1 FROM g1 JOIN s1 USING (m)),
+p2 AS MATERIALIZED (SELECT m, v, w, s / c AS rest, p1, 1 + (n - d) / (s * p1) AS more FROM g2 JOIN s2 USING (m, v) JOIN p1 USING (m, w)),
+p3 AS (SELECT m, u, v, w, 1 + (n - d) / (s * (p1 * rest * more)) AS more FROM g3 JOIN s3 USING (m, u, v) JOIN p2 USING (m, v, w)),
+weights AS (SELECT m, w AS k, {units("ln(p1)")} AS weight, 1 AS known FROM p1 UNION ALL SELECT m, v, {units("ln(s / c)")}, 0 FROM s2
+    UNION ALL SELECT m, v || chr(9) || w, {units("ln(more)")}, 0 FROM p2 UNION ALL SELECT m, u || chr(9) || v, {units("ln(s / c)")}, 0 FROM s3 UNION ALL SELECT m, u || chr(9) || v || chr(9) || w, {units("ln(more)")}, 0 FROM p3),
+w AS MATERIALIZED (SELECT m, k, sum(weight) AS weight, max(known) AS known FROM weights GROUP BY ALL),
+grams AS MATERIALIZED (SELECT r, m, unnest(f[2:]) AS k FROM docs WHERE tokens > 1 UNION ALL SELECT r, m, a || chr(9) || b FROM (SELECT r, m, unnest(f[1:len(f) - 1]) AS a, unnest(f[2:]) AS b FROM docs WHERE tokens > 1)
+    UNION ALL SELECT r, m, a || chr(9) || b || chr(9) || c FROM (SELECT r, m, unnest(f[1:len(f) - 2]) AS a, unnest(f[2:len(f) - 1]) AS b, unnest(f[3:]) AS c FROM docs WHERE tokens > 1)),
+sums AS (SELECT r, CAST(sum(weight) AS DOUBLE) AS x, CAST(sum(known) AS DOUBLE) AS seen FROM grams JOIN w USING (m, k) GROUP BY r),
+scored AS MATERIALIZED (SELECT docs.*, CASE WHEN tokens > 1 THEN round(exp(-(x + (tokens - seen) * {units("ln(unseen)")}) / 1048576 / tokens), 4) END AS p FROM docs LEFT JOIN sums USING (r) LEFT JOIN s1 USING (m)),
+judged AS (SELECT lang, p, 1 AS good FROM scored SEMI JOIN good USING (doc_id) WHERE held AND p IS NOT NULL UNION ALL SELECT lang, p, 0 FROM scored SEMI JOIN bad USING (doc_id) WHERE p IS NOT NULL),
+ranked AS (SELECT *, 'own' AS scope, row_number() OVER (PARTITION BY lang, good ORDER BY p) AS i, count(*) OVER (PARTITION BY lang, good) AS n FROM judged
+    UNION ALL SELECT NULL, p, good, 'pooled', row_number() OVER (PARTITION BY good ORDER BY p), count(*) OVER (PARTITION BY good) FROM judged),
+q AS (SELECT scope, lang, min(p) FILTER (good = 1 AND i >= 0.99 * n) AS g, min(p) FILTER (good = 0 AND i >= 0.05 * n) AS b FROM ranked GROUP BY ALL),
+limits AS (SELECT scope, lang, round(CASE WHEN b > g THEN sqrt(g * b) ELSE g END, 4) AS x FROM q)
+SELECT doc_id, scored.lang, p AS perplexity, coalesce(l.x, a.x) AS threshold, p IS NOT NULL AND coalesce(p <= coalesce(l.x, a.x), true) AS kept
+FROM scored LEFT JOIN limits l ON l.scope = 'own' AND l.lang = scored.lang LEFT JOIN limits a ON a.scope = 'pooled'"""
+
+
+ORACLES: dict[str, str] = {"op2_kneser_ney": _op2_sql(), "op4_repetition": _OP4, "op1_blob_ledger": _OP1, "op5_decontaminate": _OP5, "op6_jaccard_join": _OP6, "op7_warc": _OP7}

@@ -1,182 +1,102 @@
-"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney trigram model of the words of trusted text.
 
-The model predicts code points, as they are written, from the ORDER - 1 before them; each language has its own. All
-trusted documents are counted, and everything that grows with the text is a table sharded by language and n-gram: the
-counts, the continuation counts of the lower orders and the totals of the contexts. Only discounts (three numbers a
-language and order) reach the driver.
+Each language has a model of its own, in tables that grow with the trusted text and are sharded by n-gram: counts of
+trigrams, continuation counts of bigrams and words, totals and discounts of their contexts. Words are as they are
+written, as 64-bit hashes; a text is framed by START and END. Words never seen in trusted text share what the discounts
+of the lowest order leave.
 
-Documents join these tables by blocks: a task writes its documents in blocks of at most BLOCK characters (a longer
-document is a block of its own), each with its distinct n-grams. The distinct n-grams of all blocks are joined with the
-counts of every order, and a block's documents meet the probabilities of its n-grams in one cogroup. A document is kept
-if its perplexity is at most the `quantile` of its language's trusted documents, times `slack`.
+Scoring is one sharded join. With S the sum of the discounts of a context and C its total, the logarithm of the
+interpolated probability of w after u v is a sum over the n-grams of a text that the model holds:
 
-Defined cases: null and empty texts have no perplexity and are not kept; null languages, and languages without trusted
-text, use a model of all trusted text; without any trusted text every text with a character is kept; repeated rows are
-judged alike; code points never seen in trusted text share what the discounts leave.
+    words      ln p1(w)                              and, as a context, ln (S(v) / C(v))
+    bigrams    ln (1 + (c - D(c)) / (S(v) p1(w)))    and, as a context, ln (S(u v) / C(u v))
+    trigrams   ln (1 + (c - D(c)) / (S(u v) p2(w | v)))
+
+so each n-gram has one weight, the weights are one table keyed by the n-gram's hash, and documents send their distinct
+n-grams there; only sums come back. Equal texts are scored once a task. The HOT most frequent n-grams, which most
+documents would send, are held by the tasks instead. Weights are integers (units of 1 / UNIT), so sums do not depend on
+their order.
+
+A part of the trusted texts, chosen by their MD5 (HELD_OUT), is not trained on. A language's threshold is the geometric
+mean of two quantiles of perplexity, a high one of its held-out texts and a low one of its texts labelled bad, or the
+first alone where the second is not above it. A document is kept if its perplexity is at most the threshold.
+
+Gathered on the driver: four counts of counts and three totals a language and order, and the HOT weights.
+
+Defined cases: texts that are null or have no word have no perplexity and are not kept; null languages, and languages without
+trusted text, use a model of all trusted text, and languages without held-out text the threshold of all languages together;
+without any trusted text every text with a word has perplexity 1 and is kept; repeated rows are judged alike and labels
+may repeat; other columns are ignored, whatever their names; a long text is one row of the scan.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lineora.llm.common import cut
+from lineora.llm.common import WORD, WordHash, cut, word_hashes
 
-ORDER = 5
-#: Below the lowest order, all code points are equally likely.
-CLASSES = 0x110000
-QUANTILE, SLACK = 0.995, 1.1
+#: A language's threshold lies half way (as a ratio) between these quantiles of its held-out trusted texts and of its bad ones.
+GOOD_QUANTILE, BAD_QUANTILE = 0.99, 0.05
+#: First hex digits of the MD5 of the texts that thresholds are taken from.
+HELD_OUT = "012"
+#: Weights are multiples of 1 / UNIT.
+UNIT = 1 << 20
+#: n-grams whose weights every task holds (16 bytes each).
+HOT = 1 << 17
 #: Up to so many trusted ids (8 bytes each) are broadcast; beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
-#: Up to so many contexts or n-grams of one order are broadcast; beyond, the join is shuffled.
-BROADCAST_GRAMS = 5_000
-#: Characters of a block, and of the pieces whose n-grams are made distinct at once.
-BLOCK, PIECE = 1 << 24, 1 << 21
+#: Words whose n-grams are made distinct at once, and rows of a batch.
+PIECE = 1 << 20
+START, END = 1, 2
 ALL = ""
 
+#: Fixed values of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
-def points_of(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-class Codes:
-    """n-grams as int64: digits to the base of the alphabet's size, with ranks among `known` where they would overflow."""
-
-    def __init__(self, points: np.ndarray):
-        self.alphabet = np.unique(points)
-        self.base, self.ranks = max(2, len(self.alphabet)), {}
-        self.digit = np.zeros(0x110000, np.int64)
-        self.digit[self.alphabet] = np.arange(len(self.alphabet))
-
-    def encode(self, columns: list[np.ndarray], learn: bool) -> np.ndarray:
-        """Codes of the n-grams whose i-th code points are columns[i]. learn: these are all n-grams there are."""
-        out, size = self.digit[columns[0]], self.base
-        for i, c in enumerate(columns[1:], 1):
-            if size * self.base >= 1 << 63:
-                if learn:
-                    self.ranks[i] = np.unique(out)
-                out, size = np.searchsorted(self.ranks[i], out), len(self.ranks[i])
-            out, size = out * self.base + self.digit[c], size * self.base
-        return out
-
-    def decode(self, codes: np.ndarray) -> np.ndarray:
-        """A row of code points for each code."""
-        columns = []
-        for i in reversed(range(1, ORDER)):
-            codes, last = np.divmod(codes, self.base)
-            columns.append(self.alphabet[last])
-            if i in self.ranks:
-                codes = self.ranks[i][codes]
-        return np.stack([self.alphabet[codes], *reversed(columns)], 1).astype(np.uint32)
-
-
-def _merged(points: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of code points and their counts (n: of the rows given)."""
-    codes = Codes(points)
-    keys = codes.encode(list(points.T), True)
-    if n is None:
-        keys, n = np.unique(keys, return_counts=True)
-    else:
-        keys, at = np.unique(keys, return_inverse=True)
-        n = np.bincount(at, n, len(keys)).astype(np.int64)
-    return codes.decode(keys), n
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams that end at a character of the texts, and their counts; each text is preceded by line ends."""
-    start = np.full(ORDER - 1, 10, np.uint32)
-    points = np.concatenate([x for t in texts for x in (start, points_of(t))])
-    keep = np.ones(len(points), bool)
-    at = np.cumsum([0, *(len(t) + ORDER - 1 for t in texts[:-1])])
-    for j in range(ORDER - 1):
-        keep[at + j] = False
-    codes = Codes(points)
-    n = len(points) - ORDER + 1
-    found = codes.encode([points[j : j + n] for j in range(ORDER)], True)[keep[ORDER - 1 :]]
-    keys, counts = np.unique(found, return_counts=True)
-    return codes.decode(keys), counts
-
-
-class _Gathered:
-    """Distinct n-grams and counts by model name."""
-
-    def __init__(self):
-        self.texts, self.size, self.found = {}, {}, {}
-
-    def add(self, name: str, text: str) -> None:
-        self.texts.setdefault(name, []).append(text)
-        self.size[name] = self.size.get(name, 0) + len(text)
-        if self.size[name] >= PIECE:
-            self._close(name)
-
-    def _close(self, name: str) -> None:
-        if texts := self.texts.pop(name, None):
-            parts = self.found.setdefault(name, [])
-            parts.append(grams(texts))
-            if len(parts) > 8:
-                parts[:] = [_merged(np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts]))]
-        self.size[name] = 0
-
-    def all(self):
-        """(name, n-grams as strings, counts)"""
-        for name in [*self.size]:
-            self._close(name)
-            parts = self.found[name]
-            points, n = parts[0] if len(parts) == 1 else _merged(np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts]))
-            body = points.tobytes().decode("utf-32-le", "surrogatepass")
-            yield name, pa.array([body[i : i + ORDER] for i in range(0, len(body), ORDER)], pa.string()), n
-
-
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """log p(last | rest) for every n-gram of a small alphabet: the model of trained() in dense form."""
-    p = np.full(CLASSES, 1 / CLASSES)
-    for order in range(1, counts.ndim + 1):
-        c = counts if order == counts.ndim else _continued(counts, order)
-        n1, n2, n3, n4 = (int(np.count_nonzero(c == i)) for i in range(1, 5))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.5
-        d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-        d = np.array([0.0, *(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))])
-        less = d[np.minimum(c, 3)]
-        total = c.sum(-1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.where(total > 0, (c - less) / total, 0.0)
-            rest = np.where(total > 0, less.sum(-1, keepdims=True) / total, 1.0)
-        p = own + rest * p  # p of the shorter context, for any first class
-    return np.log(p)
-
-
-def _continued(counts: np.ndarray, order: int) -> np.ndarray:
-    """How many different classes precede each n-gram of a lower order."""
-    c = counts
-    while c.ndim > order + 1:
-        c = c.sum(0)
-    return (c > 0).sum(0)
+
+def hashed(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """XXH64 of 8-byte values, as F.xxhash64 chains it over columns: it starts from 42, and the hash so far is the next column's seed."""
+    h = (seed + _P5 + np.uint64(8)) ^ (_rotated(x * _P2, 31) * _P1)
+    h = _rotated(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def framed(text: bytes, known: WordHash) -> np.ndarray:
+    words = text.split()
+    return np.concatenate((np.array([START, START], np.uint64), word_hashes(words, known), np.array([END], np.uint64)))
 
 
 def _count(batches):
-    held, size = _Gathered(), 0
-    for batch in batches:
-        for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
-            if body := text.as_py():
-                held.add(lang.as_py() or ALL, body)
-                size += len(body)
-        if size >= BLOCK:
-            yield from _counted(held)
-            held, size = _Gathered(), 0
-    yield from _counted(held)
+    known, held, size = WordHash(), {}, 0
 
+    def counted():
+        for model, texts in held.items():
+            whole = [np.concatenate([t[i : len(t) - 2 + i] for t in texts]) for i in range(3)]
+            keys = hashed(whole[2], hashed(whole[1], hashed(whole[0], np.uint64(0))))
+            _, at, n = np.unique(keys, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([model] * len(at), pa.int64()), *(pa.array(x[at].view(np.int64)) for x in whole), pa.array(n, pa.int64())], ["m", "u", "v", "w", "n"])
 
-def _counted(held: _Gathered):
-    for name, found, n in held.all():
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), found, pa.array(n, pa.int64())], ["name", "gram", "n"])
+    for batch in batches:
+        for text, model in zip(batch.column("text").cast(pa.binary()), batch.column("m").to_pylist(), strict=True):
+            held.setdefault(model, []).append(found := framed(text.as_buffer().to_pybytes(), known))
+            size += len(found)
+            if size >= PIECE:
+                yield from counted()
+                held, size = {}, 0
+    yield from counted()
 
 
-def _discounts(of: dict[int, int]) -> list[float]:
+def discounts_of(of: dict[int, int]) -> list[float]:
     """What an n-gram met once, twice or more often gives away. of: how many n-grams have each of the counts 1 to 4."""
     n1, n2, n3, n4 = (of.get(i, 0) for i in range(1, 5))
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
@@ -184,134 +104,149 @@ def _discounts(of: dict[int, int]) -> list[float]:
     return [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
 
 
-def trained(trusted: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], list[tuple[DataFrame, DataFrame]]]:
-    """Names of the models (languages; ALL is that of all trusted text), and for each order two tables: (name, gram, own:
-    its share of the context's total) and (name, context, rest: what is left to the lower order)."""
-    rows = trusted.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    by_lang = cut(rows.mapInArrow(_count, "name string, gram string, n long").groupBy("name", "gram").agg(F.sum("n").alias("n")), "counts")
-    names = sorted({r[0] for r in by_lang.select("name").distinct().collect()})  # languages
-    if not names:
-        return [], []
-    pooled = by_lang.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("name"), "gram", "n")
-    counts = cut(by_lang.where(F.col("name") != ALL).unionByName(pooled), "counts")
-    tables = []
-    for order in range(ORDER, 0, -1):
-        if order < ORDER:  # how many different code points precede it
-            counts = cut(counts.groupBy("name", F.substring("gram", 2, order).alias("gram")).agg(F.count("*").alias("n")), "counts")
-        of: dict[str, dict] = {}
-        for r in counts.where("n <= 4").groupBy("name", "n").count().collect():  # four rows a language
-            of.setdefault(r[0], {})[r[1]] = r[2]
-        lost = F.create_map(*(x for name in {*names, ALL} for x in (F.lit(name), F.array(*map(F.lit, _discounts(of.get(name, {})))))))
-        less = F.element_at(lost[F.col("name")], F.least("n", F.lit(3)).cast("int"))
-        shares = counts.select("name", "gram", "n", less.alias("less"), F.substring("gram", 1, order - 1).alias("context"))
-        totals = cut(shares.groupBy("name", "context").agg(F.sum("n").alias("total"), F.sum("less").alias("rest")), "totals")
-        own = cut(_met(shares, totals.drop("rest"), ["name", "context"]).select("name", "gram", ((F.col("n") - F.col("less")) / F.col("total")).alias("own")), "shares")
-        tables.insert(0, (own, totals.select("name", "context", (F.col("rest") / F.col("total")).alias("rest"))))
-    return sorted({*names, ALL}), tables
-
-
-def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join; right is broadcast if it is counted small."""
-    small = right.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
-    return left.join(F.broadcast(right) if small else right.hint("merge"), keys, "left")
-
-
-def probabilities(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """asked (name, gram), each once, with log_p of the gram's last code point after the others."""
-    p = F.lit(1 / CLASSES)
-    for order, (own, rest) in enumerate(tables, 1):
-        key = F.substring("gram", ORDER - order + 1, order)
-        asked = asked.withColumns({"__gram": key, "__context": F.substring(key, 1, order - 1)})
-        asked = _met(asked, own.withColumnsRenamed({"gram": "__gram", "own": "__own"}), ["name", "__gram"])
-        asked = _met(asked, rest.withColumnsRenamed({"context": "__context", "rest": "__rest"}), ["name", "__context"])
-        asked = asked.withColumn("__p", F.coalesce("__own", F.lit(0.0)) + F.coalesce("__rest", F.lit(1.0)) * p).select("name", "gram", "__p")
-        p = F.col("__p")
-    return asked.select("name", "gram", F.log("__p").alias("log_p"))
-
-
-def _blocked(names: list[str]):
-    """Rows of documents (name null) and of their block's distinct n-grams (in text)."""
-    known = {*names}
-
-    def ends(held, block, id_type):
-        for name, found, _ in held.all():
-            n = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, id_type), pa.nulls(n, pa.string()), pa.array([name] * n, pa.string()), found], ["block", "doc_id", "lang", "name", "text"])
-
-    def blocked(batches):
-        held, size, block, batch = _Gathered(), 0, TaskContext.get().partitionId() << 32, None
+def _by_model(values: dict[int, object]) -> Column:
+    """The value of a row's model; a model is a language, so there are few."""
+    lit = lambda x: F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(x)
+    return F.element_at(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), lit(v)))), F.col("m"))
+
+
+def _given(counts: DataFrame) -> tuple[DataFrame, Column]:
+    """counts (m, .., n) with d, the discount of each; and what groups of them with n1, n2, n3 (counted once, twice, more
+    often) give away."""
+    of: dict[int, dict] = {}
+    for m, n, k in counts.where("n <= 4").groupBy("m", "n").count().collect():
+        of.setdefault(m, {})[n] = k
+    lost = _by_model({r[0]: discounts_of(of.get(r[0], {})) for r in counts.select("m").distinct().collect()})
+    sums = sum((lost[i] * F.col(f"n{i + 1}") for i in (1, 2)), lost[0] * F.col("n1"))
+    return counts.withColumn("d", F.element_at(lost, F.least("n", F.lit(3)).cast("int"))), sums.alias("s")
+
+
+def _totals(counts: DataFrame, sums: Column, *context: str) -> DataFrame:
+    """For each context c, the total, s, what its n-grams give away, and k, how many they are."""
+    n = [F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count_if(F.col("n") > 2).alias("n3")]
+    return counts.groupBy("m", *context).agg(F.sum("n").alias("c"), F.count("*").alias("k"), *n).select("m", *context, "c", "k", sums)
+
+
+def _units(x: Column) -> Column:
+    return F.round(x * UNIT).cast("long").alias("weight")
+
+
+def trained(trusted: DataFrame) -> tuple[DataFrame | None, dict[int, int]]:
+    """trusted: m (number of the model), text. (weights: key, weight, known, n; weight of an unseen word by model.)
+    known: 1 for words, n: how often an n-gram was counted."""
+    rows = trusted.where(F.regexp_like("text", F.lit(WORD))).select("m", "text")
+    c3 = cut(rows.mapInArrow(_count, "m long, u long, v long, w long, n long").groupBy("m", "u", "v", "w").agg(F.sum("n").alias("n")), "trigrams")
+    if c3.isEmpty():
+        return None, {}
+    c2 = cut(c3.groupBy("m", "v", "w").agg(F.count("*").alias("n")), "bigrams")
+    c1 = cut(c2.groupBy("m", "w").agg(F.count("*").alias("n")), "words")
+    (c3, s3), (c2, s2), (c1, s1) = _given(c3), _given(c2), _given(c1)
+    total = {r["m"]: r for r in _totals(c1, s1).collect()}
+    unseen = {m: r["s"] / r["c"] / (r["k"] + 1) for m, r in total.items()}
+    p1 = c1.select("m", "w", "n", ((F.col("n") - F.col("d")) / _by_model({m: float(r["c"]) for m, r in total.items()}) + _by_model(unseen)).alias("p1"))
+    s2, s3 = cut(_totals(c2, s2, "v"), "contexts"), cut(_totals(c3, s3, "u", "v"), "contexts")
+    more = lambda p: (1 + (F.col("n") - F.col("d")) / (F.col("s") * F.col(p))).alias("more")
+    p2 = c2.join(s2.select("m", "v", "c", "s"), ["m", "v"]).join(p1.drop("n"), ["m", "w"]).select("m", "v", "w", "n", "p1", (F.col("s") / F.col("c")).alias("left"), more("p1"))
+    p2 = cut(p2.select("m", "v", "w", "n", "more", (F.col("p1") * F.col("left") * F.col("more")).alias("p2")), "bigrams")
+    p3 = c3.join(s3.select("m", "u", "v", "s"), ["m", "u", "v"]).join(p2.select("m", "v", "w", "p2"), ["m", "v", "w"]).select("m", "u", "v", "w", "n", more("p2"))
+    key = lambda *parts: F.xxhash64("m", *parts).alias("key")
+    back = lambda s, *parts: s.select(key(*parts), _units(F.log(F.col("s") / F.col("c"))), F.lit(0).alias("known"), F.col("c").alias("n"))
+    parts = [
+        p1.select(key("w"), _units(F.log("p1")), F.lit(1).alias("known"), "n"),
+        back(s2, "v"),
+        p2.select(key("v", "w"), _units(F.log("more")), F.lit(0).alias("known"), "n"),
+        back(s3, "u", "v"),
+        p3.select(key("u", "v", "w"), _units(F.log("more")), F.lit(0).alias("known"), "n"),
+    ]
+    weights = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+    weights = cut(weights.groupBy("key").agg(F.sum("weight").alias("weight"), F.max("known").alias("known"), F.sum("n").alias("n")), "weights")
+    return weights, {m: round(float(np.log(x)) * UNIT) for m, x in unseen.items()}
+
+
+def _ask(hot):
+    """Rows of a text: its n-grams (doc, key, n; known -1), and one for what the hot ones sum to (n) and how many words are among them (known)."""
+
+    def ask(batches):
+        known, seen = WordHash(), set()
+        keys, weight, is_word = hot
+        out, size = [], 0
+
+        def joined():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out]), t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["doc", "key", "n", "known"])
+
         for batch in batches:
-            at = []
-            for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
-                if body := text.as_py():
-                    if size and size + len(body) > BLOCK:
-                        yield from ends(held, block, batch.column("doc_id").type)
-                        held, size, block = _Gathered(), 0, block + 1
-                    name = lang.as_py() or ALL
-                    held.add(name if name in known else ALL, body)
-                    size += len(body)
-                at.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), batch.column("doc_id"), batch.column("lang"), pa.nulls(len(at), pa.string()), batch.column("text")], ["block", "doc_id", "lang", "name", "text"])
-        if batch is not None:
-            yield from ends(held, block, batch.column("doc_id").type)
-
-    return blocked
-
-
-def _perplexities(names: list[str]):
-    known = {*names}
-
-    def judged(docs: pa.Table, found: pa.Table) -> pa.Table:
-        models = {}
-        for name in found.column("name").unique().to_pylist():
-            part = found.filter(pa.compute.equal(found.column("name"), name))
-            points = points_of("".join(part.column("gram").to_pylist())).reshape(-1, ORDER)
-            codes = Codes(points)
-            keys = codes.encode(list(points.T), True)
-            order = np.argsort(keys)
-            models[name] = codes, keys[order], part.column("log_p").to_numpy()[order]
-        out, start = [], np.full(ORDER - 1, 10, np.uint32)
-        for text, lang in zip(docs.column("text"), docs.column("lang"), strict=True):
-            if not (body := text.as_py()):
-                out.append(None)
-                continue
-            name = lang.as_py() or ALL
-            codes, keys, logs = models[name if name in known else ALL]
-            points = np.concatenate((start, points_of(body)))
-            asked = codes.encode([points[j : j + len(body)] for j in range(ORDER)], False)
-            out.append(float(np.exp(-logs[np.searchsorted(keys, asked)].mean())))
-        return pa.table([docs.column("doc_id"), docs.column("lang"), pa.array(out, pa.float64())], ["doc_id", "lang", "perplexity"])
-
-    return judged
-
-
-def scored(docs: DataFrame, model: tuple[list[str], list[tuple[DataFrame, DataFrame]]]) -> DataFrame:
-    """doc_id, lang, perplexity for every row of docs (doc_id, text, lang)."""
-    names, tables = model
-    if not names:
-        return docs.select("doc_id", "lang", F.when(F.length("text") > 0, 1.0).alias("perplexity"))
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_id", kind), *(T.StructField(x, T.StringType()) for x in ("lang", "name", "text"))])
-    blocks = cut(docs.select("doc_id", "lang", "text").mapInArrow(_blocked(names), schema), "blocks")
-    met = blocks.where("name is not null").select(F.col("block").alias("block"), "name", F.col("text").alias("gram"))
-    asked = cut(probabilities(met.select("name", "gram").distinct(), tables), "probabilities")
-    found = met.join(asked.hint("merge"), ["name", "gram"])
-    texts = blocks.where("name is null").select("block", "doc_id", "lang", "text")
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("lang", T.StringType()), T.StructField("perplexity", T.DoubleType())])
-    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_perplexities(names), schema)
-
-
-def classified(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", trusted: str = "quality = 1 and coalesce(toxic, 0) = 0", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+            for doc, model, text in zip(batch.column("doc").to_pylist(), batch.column("m").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                if doc in seen:
+                    continue
+                seen.add(doc)
+                x = framed(text.as_buffer().to_pybytes(), known)
+                one = hashed(x, hashed(np.array([model], np.int64).view(np.uint64), np.uint64(42)))
+                two = hashed(x[1:], one[:-1])
+                asked, n = np.unique(np.concatenate((one[1:], two, hashed(x[2:], two[:-1]))).view(np.int64), return_counts=True)
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                hit = keys[at] == asked
+                rest = ~hit
+                asked = np.append(asked[rest], doc)
+                sums = int(n[hit] @ weight[at[hit]]), int(n[hit] @ is_word[at[hit]])
+                out.append((np.full(len(asked), doc), asked, np.append(n[rest], sums[0]), np.append(np.full(len(asked) - 1, -1, np.int32), np.int32(sums[1]))))
+                size += len(asked)
+                if size >= PIECE:
+                    yield joined()
+                    out, size = [], 0
+        if out:
+            yield joined()
+
+    return ask
+
+
+def scored(docs: DataFrame, weights: DataFrame, unseen: dict[int, int]) -> DataFrame:
+    """docs: m, text and other columns. With perplexity (null where the text has no word) instead of the text."""
+    docs = docs.withColumns({"doc": F.xxhash64("m", "text"), "tokens": F.regexp_count("text", F.lit(WORD)) + 1})
+    hot = weights.orderBy(F.desc("n"), "key").limit(HOT).select("key", "weight", "known").toPandas().sort_values("key")  # HOT rows
+    held = docs.sparkSession.sparkContext.broadcast(tuple(hot[c].to_numpy(np.int64) for c in ("key", "weight", "known")))
+    asked = docs.where("tokens > 1").select("doc", "m", "text").mapInArrow(lambda it: _ask(held.value)(it), "doc long, key long, n long, known int")
+    met = asked.join(weights.select("key", F.col("weight").alias("__w"), F.col("known").alias("__k")), "key", "left")
+    sent = F.col("known") < 0
+    sums = met.groupBy("doc").agg(
+        F.sum(F.when(sent, F.col("n") * F.coalesce("__w", F.lit(0))).otherwise(F.col("n"))).alias("sum"),
+        F.sum(F.when(sent, F.col("n") * F.coalesce("__k", F.lit(0))).otherwise(F.col("known"))).alias("seen"),
+        F.sum((~sent).cast("int")).alias("times"),  # tasks that held the text
+    )
+    # times the text was scored: the same sums each time
+    logs = F.col("sum") / F.col("times") + (F.col("tokens") - F.col("seen") / F.col("times")) * _by_model(unseen)
+    out = docs.drop("text").join(sums, "doc", "left")
+    return out.withColumn("perplexity", F.when(F.col("tokens") > 1, F.round(F.exp(-logs / UNIT / F.col("tokens")), 4))).drop("doc", "tokens", "sum", "seen", "times")
+
+
+def classified(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", trusted: str = "quality = 1 and coalesce(toxic, 0) = 0", bad: str = "quality = 0") -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept for every row of docs. labels: doc_id and what `trusted` asks for."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     good = labels.where(trusted).select(F.col("doc_id").alias("__id")).distinct()
     if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         good = F.broadcast(good)
-    model = trained(rows.join(good, F.col("doc_id") == F.col("__id"), "left_semi"))
-    out = cut(scored(rows, model), "perplexity")
-    name = F.coalesce("lang", F.lit(ALL))
-    limits = out.join(good, F.col("doc_id") == F.col("__id"), "left_semi").groupBy(name.alias("__lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
-    pooled = out.join(good, F.col("doc_id") == F.col("__id"), "left_semi").agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
-    out = out.join(F.broadcast(limits), name == F.col("__lang"), "left").drop("__lang")  # a row for each language
-    limit = F.coalesce("threshold", F.lit(pooled).cast("double")) * slack
-    return out.withColumn("threshold", limit).withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= limit, F.lit(True)))
+    held_out = F.substring(F.md5("text"), 1, 1).isin(*HELD_OUT)
+    own = rows.join(good, F.col("doc_id") == F.col("__id"), "left_semi").where(~held_out)
+    names = {r[0] for r in own.where(F.regexp_like("text", F.lit(WORD))).select("lang").distinct().collect()} - {None}  # languages
+    number = lambda name: F.xxhash64(name)
+    pooled = not rows.where(~F.coalesce(F.col("lang").isin(*names), F.lit(False))).isEmpty()
+    texts = own.where(F.col("lang").isin(*names)).select(number(F.col("lang")).alias("m"), "text")
+    if pooled:
+        texts = texts.union(own.select(number(F.lit(ALL)).alias("m"), "text"))
+    weights, unseen = trained(texts)
+    model = F.when(F.col("lang").isin(*names), F.col("lang")).otherwise(F.lit(ALL))
+    marked = rows.withColumns({"m": number(model), "held": held_out})
+    if weights is None:
+        out = marked.withColumn("perplexity", F.when(F.regexp_like("text", F.lit(WORD)), 1.0))
+        return out.select("doc_id", "lang", "perplexity", F.lit(None).cast("double").alias("threshold"), F.col("perplexity").isNotNull().alias("kept"))
+    out = cut(scored(marked, weights, unseen), "perplexity")
+    of = lambda condition: labels.where(condition).select(F.col("doc_id").alias("__id")).distinct()
+    judged = out.where("held").join(good, F.col("doc_id") == F.col("__id"), "left_semi").select("lang", "perplexity", F.lit(1).alias("good"))
+    judged = judged.union(out.join(of(bad), F.col("doc_id") == F.col("__id"), "left_semi").select("lang", "perplexity", F.lit(0)))
+    at = [F.percentile_approx(F.when(F.col("good") == g, F.col("perplexity")), q, 10_000) for g, q in ((1, GOOD_QUANTILE), (0, BAD_QUANTILE))]
+    limit = lambda g, b: F.round(F.when(b > g, F.sqrt(g * b)).otherwise(g), 4)
+    judged = cut(judged, "judged")
+    limits = judged.groupBy(F.col("lang").alias("__lang")).agg(at[0].alias("g"), at[1].alias("b")).select("__lang", limit(F.col("g"), F.col("b")).alias("own"))
+    out = out.join(F.broadcast(limits), F.col("lang") == F.col("__lang"), "left")  # a row for each language
+    pooled = judged.agg(at[0].alias("g"), at[1].alias("b")).select(limit(F.col("g"), F.col("b"))).first()[0]
+    threshold = F.coalesce("own", F.lit(pooled).cast("double"))
+    return out.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))).alias("kept"))
