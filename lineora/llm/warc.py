@@ -79,10 +79,10 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
 
 
 _HEADER = re.compile(rb"(?im)^(Content-Length|WARC-Type|WARC-Record-ID|WARC-Refers-To|WARC-Payload-Digest|WARC-Target-URI):[ \t]*([^\r\n]*)")
-_PIECES = "file string, block long, seq long, place long, size long, reach long, page_id long, type string, refers long, digest string, payload_bytes long, url string"
+_PIECES = "file string, block long, seq long, place long, size long, reach long, page_id long, type string, refers long, digest string, payload_bytes long, url string, told string"
 
 
-_SCHEMA = pa.schema([("file", pa.string()), *((k, pa.int64()) for k in ("block", "seq", "place", "size", "reach", "page_id")), ("type", pa.string()), ("refers", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("url", pa.string())])
+_SCHEMA = pa.schema([("file", pa.string()), *((k, pa.int64()) for k in ("block", "seq", "place", "size", "reach", "page_id")), ("type", pa.string()), ("refers", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("url", pa.string()), ("told", pa.string())])
 
 
 def _page(value: bytes | None) -> int | None:
@@ -113,10 +113,10 @@ def _walk(batches):
             end = piece.find(END.encode())
             found = {k.lower(): v for k, v in _HEADER.findall(piece[:end])} if end >= 0 else {}
             length = found.get(b"content-length", b"")
-            row = {"file": file, "block": block, "seq": seq, "place": place, "size": len(piece) + len(MAGIC), "reach": -1, "page_id": None, "type": None, "refers": None, "digest": None, "payload_bytes": None, "url": None}
+            row = {"file": file, "block": block, "seq": seq, "place": place, "size": len(piece) + len(MAGIC), "reach": -1, "page_id": None, "type": None, "refers": None, "digest": None, "payload_bytes": None, "url": None, "told": None}
             if length.isdigit():
                 n, start = int(length), end + len(END)
-                row |= {"reach": len(MAGIC) + start + n + len(END), "payload_bytes": n, "page_id": _page(found.get(b"warc-record-id")), "refers": _page(found.get(b"warc-refers-to")), "type": found.get(b"warc-type", b"").decode("latin-1"), "url": found[b"warc-target-uri"].decode("utf-8", "replace") if b"warc-target-uri" in found else None}
+                row |= {"reach": len(MAGIC) + start + n + len(END), "payload_bytes": n, "page_id": _page(found.get(b"warc-record-id")), "refers": _page(found.get(b"warc-refers-to")), "type": found.get(b"warc-type", b"").decode("latin-1"), "told": found.get(b"warc-payload-digest", b"").decode("latin-1").removeprefix("sha1:") or None, "url": found[b"warc-target-uri"].decode("utf-8", "replace") if b"warc-target-uri" in found else None}
                 state = hashlib.sha1(payload := piece[start : start + n])
                 if len(payload) == n:
                     row["digest"] = base64.b32encode(state.digest()).decode()
@@ -158,7 +158,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under path: file, off, page_id, type, refers, digest and payload_bytes (of the payload as stored), url."""
+    """The records of all archives under path: file, off, page_id, type, refers, digest and payload_bytes (of the payload as stored), url, told (the digest that the header names)."""
     pieces = cut(_pieces(spark, path).mapInArrow(_walk, _PIECES), "pieces")
     splits = pieces.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
     by_file = Window.partitionBy("file").orderBy("block")  # a row for each split of a file
@@ -185,7 +185,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     cut_off = records.where("digest is null").select(F.col("file").alias("__file"), "off", F.col("next").alias("until"))
     if not cut_off.isEmpty():
         records = _remainders(spark, path, records, cut_off, found)
-    return records.select("file", "off", "page_id", "type", "refers", "digest", "payload_bytes", "url")
+    return records.select("file", "off", "page_id", "type", "refers", "digest", "payload_bytes", "url", "told")
 
 
 def _remainders(spark: SparkSession, path: str, records: DataFrame, cut_off: DataFrame, found: DataFrame) -> DataFrame:
@@ -220,9 +220,11 @@ def _remainders(spark: SparkSession, path: str, records: DataFrame, cut_off: Dat
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url; revisits get size and digest of the payload they refer to."""
-    full = records.where("type = 'response'").select(F.col("page_id").alias("__id"), F.col("payload_bytes").alias("__bytes"), F.col("digest").alias("__digest")).distinct()
-    revisits = records.where("type = 'revisit'").join(full, F.col("refers") == F.col("__id"), "left").select("page_id", F.col("__bytes").alias("payload_bytes"), F.col("__digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers").alias("refers_to"), "url")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, url; revisits get the size of the payload with their
+    digest at the page they refer to."""
+    full = records.where("type = 'response'").groupBy(F.col("page_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.max("payload_bytes").alias("__bytes"))
+    same = (F.col("refers") == F.col("__id")) & (F.col("told") == F.col("__digest"))
+    revisits = records.where("type = 'revisit'").join(full, same, "left").select("page_id", F.col("__bytes").alias("payload_bytes"), F.col("told").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers").alias("refers_to"), "url")
     own = records.where("type = 'response'").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "url")
     return own.unionByName(revisits)
 
