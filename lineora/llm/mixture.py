@@ -1,25 +1,31 @@
 """Mixing sources to target weights by min-cost flow.
 
-A document may belong to several sources. Documents are aggregated by membership pattern (the sorted set of their
-sources); a flow network has an edge from each pattern to its sources, as many parallel edges into a pattern as a
-document may be repeated (each as wide as the pattern's tokens, and dearer than the one before: repetition costs are
-convex), and each source drains its quota. Successive cheapest paths route the tokens, so sources are filled from fresh
-documents before any is repeated. What a pattern carries is then realised by whole documents: all of them as often as
-the flow covers the pattern, and for the rest every size class (powers of 2) gives its share, in the order of a seeded
-hash. The one document a class that straddles its cut is taken or left, largest first, so that the pattern's sum comes
-nearest to the rest.
-
-Patterns and sources are collected: their number is bounded by the sources' memberships, not by documents.
-The cut in seeded order is found in two levels (hash slices, then the rows of one slice), so no source is sorted whole.
-
-Defined cases: null texts and empty texts have size 0 and are never taken; a null source is a source of its own,
+A document may belong to several sources, by its own list of them or because rows of other sources hold the same text.
+Texts are aggregated by membership pattern (the sorted set of all sources that hold them), rows by pattern and the sources
+of the row itself. A flow network leads from each pattern to its groups of rows and from these to their sources, which
+drain their quotas. Into a pattern lead parallel edges: the tokens of its distinct texts as often as a document may be
+repeated, each use dearer than the one before (repetition costs are convex), and beyond them what only further copies of
+a text can give. Successive cheapest paths route the tokens, so quotas are filled from fresh texts before any is repeated,
+whichever of its sources a text is taken for. Sources that share no text with others need no flow: their rows give the target.
+
+What a group carries is then realised by whole documents: all of them as often as the flow covers the group, and for
+the rest every size class (powers of 2) gives its share, in the order of a seeded hash. The one document a class that
+straddles its cut is taken or left, largest first, so that the group's sum comes nearest to the rest. The cut in seeded
+order is found in two levels (hash slices, then the rows of one slice), so no source is sorted whole, and rows outside
+the slices of cuts are decided where they are read.
+
+Gathered on the driver: a row for each group, source and size class of a group; their number is that of the sources and
+of the combinations of sources that occur, and does not grow with documents. Up to BROADCAST_ROWS of them are broadcast.
+
+Defined cases: null texts and texts without words have size 0 and are never taken; a null source is a source of its own,
 ordered last; repeated rows are separate documents of equal rank (taken alike up to one row); empty tables give an
-empty result.
+empty result; other columns, whatever their names, stay as they are; a long text is a document like others.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +38,8 @@ SLICES = 4096
 SUMS = 4096
 SEED = 17
 WEIGHTS = (1, 2, 3)
+#: Up to so many rows (about 100 bytes each) of a small table are broadcast; beyond, the join is shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def targets_of(sizes: list[tuple[str | None, int]], weights: list[float], repeats: int = REPEATS) -> list[float]:
@@ -52,9 +60,12 @@ def targets_of(sizes: list[tuple[str | None, int]], weights: list[float], repeat
     return target
 
 
-def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeats: int = REPEATS) -> list[dict[int, int]]:
-    """Tokens that each pattern sends to each of its sources. patterns: (sources, tokens). The r-th use of a token costs r."""
-    first, sink = 1 + len(patterns), 1 + len(patterns) + len(quotas)
+def min_cost_flow(patterns: list[tuple[int, list[tuple[tuple[int, ...], int]]]], quotas: list[int], repeats: int = REPEATS) -> list[list[int]]:
+    """Tokens that each group of each pattern sends. patterns: (tokens of distinct texts, groups: (sources, tokens of rows)).
+    The r-th use of a distinct text's token costs r - 1; uses that need further copies cost `repeats`."""
+    n_groups = sum(len(groups) for _, groups in patterns)
+    group, first = 1 + len(patterns), 1 + len(patterns) + n_groups
+    sink = first + len(quotas)
     heads: list[list[int]] = [[] for _ in range(sink + 1)]
     to, room, cost = [], [], []
 
@@ -66,11 +77,17 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
             cost.append(d)
         return len(to) - 2
 
-    used = []
-    for p, (sources, tokens) in enumerate(patterns, 1):
+    used: list[list[int]] = []
+    for p, (fresh, groups) in enumerate(patterns, 1):
         for r in range(repeats):
-            edge(0, p, tokens, r)
-        used.append({s: edge(p, first + s, repeats * tokens, 0) for s in sources})
+            edge(0, p, fresh, r)
+        edge(0, p, max(0, repeats * (sum(n for _, n in groups) - fresh)), repeats)
+        used.append([])
+        for sources, tokens in groups:
+            used[-1].append(edge(p, group, repeats * tokens, 0))
+            for s in sources:
+                edge(group, first + s, repeats * tokens, 0)
+            group += 1
     for s, q in enumerate(quotas):
         edge(first + s, sink, q, 0)
     while True:
@@ -85,7 +102,7 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
                         queued.add(to[e])
                         queue.append(to[e])
         if sink not in best:
-            return [{s: room[e ^ 1] for s, e in x.items()} for x in used]
+            return [[room[e ^ 1] for e in x] for x in used]
         path, x = [], sink
         while x:
             path.append(via[x])
@@ -112,72 +129,143 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mixed(docs: DataFrame, size: str, sources: str, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs (narrow rows: a size, an array of sources, and columns that tell rows apart) with times (how often the mix
-    takes the document), source_sizes and targets (of its sources, in the order of `sources`)."""
-    docs = docs.withColumn("__p", F.array_sort(F.array_distinct(F.transform(F.coalesce(sources, F.array(F.lit(None).cast("string"))), lambda x: F.coalesce(F.concat(F.lit("0"), x), F.lit("1"))))))
-    spot = F.xxhash64(F.lit(seed), *key)
-    docs = cut(docs.withColumns({"__h": spot, "__b": F.shiftrightunsigned(spot, 52).cast("int"), "__c": F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")}), "mix")
+def words_in(text: Column) -> Column:
+    """Number of words; null: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+
 
+@dataclass
+class Mix:
+    """What is taken. shared: __text, __all (patterns of texts whose rows differ in sources). groups: __p, __o, __g, __full,
+    source_sizes, targets. cuts: __g, __c and where the class is cut. hashes: __h of the rows in the slices of cuts."""
+
+    shared: DataFrame
+    groups: DataFrame
+    cuts: DataFrame
+    hashes: DataFrame
+    repeats: int
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
+    """docs as a struct __row, with the document's id, hash of the text, sources and place in the seeded order."""
+    name = lambda x: F.coalesce(F.concat(F.lit("0"), x.cast("string")), F.lit("1"))
     # a source's name is marked with 0, the null source is 1: so null sorts last, and UTF-8 order is code point order
-    slices = docs.groupBy("__p", "__c", "__b").agg(F.sum(size).alias("__n"))
-    patterns = sorted((tuple(r[0]), int(r[1] or 0)) for r in slices.groupBy("__p").agg(F.sum("__n")).collect())
-    names = sorted({s for p, _ in patterns for s in p})
-    at = {s: i for i, s in enumerate(names)}
-    held = [(s, sum(n for p, n in patterns if s in p)) for s in names]
-    target = targets_of(held, [weights[i % len(weights)] for i in range(len(names))], repeats)
-    flow = min_cost_flow([(tuple(at[s] for s in p), n) for p, n in patterns], [round(x) for x in target], repeats)
-
-    schema = T.StructType([T.StructField("__q", T.ArrayType(T.StringType())), *(T.StructField(x, T.LongType()) for x in ("__full", "__rest")), T.StructField("__share", T.DoubleType()), T.StructField("__sizes", T.ArrayType(T.LongType())), T.StructField("__targets", T.ArrayType(T.DoubleType()))])
-    plan, rests = [], {}
-    for (p, n), sent in zip(patterns, flow, strict=True):
-        full, rests[p] = divmod(sum(sent.values()), n) if n else (0, 0)
-        plan.append((list(p), full, rests[p], rests[p] / n if n else 0.0, [held[at[s]][1] for s in p], [target[at[s]] for s in p]))
-    plan = F.broadcast(docs.sparkSession.createDataFrame(plan, schema))  # a row for each pattern
-
-    # every size class of a pattern gives its share of the rest; in each, one document may straddle the cut
-    order = Window.partitionBy("__p", "__c").orderBy("__b")  # at most SLICES rows
-    end = F.sum("__n").over(order)
-    cuts = slices.withColumns({"__end": end, "__sum": F.sum("__n").over(Window.partitionBy("__p", "__c"))}).join(plan.select("__q", "__share"), F.col("__p") == F.col("__q"))
-    cuts = cuts.withColumn("__goal", F.floor(F.col("__sum") * F.col("__share")))
+    many = isinstance(docs.schema[source].dataType, T.ArrayType)
+    names = F.transform(F.coalesce(F.col(source), F.array(F.lit(None))) if many else F.array(source), name)
+    keyed = docs.select(F.struct("*").alias("__row"), F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__text"), F.col(text).alias("__t"), F.array_sort(F.array_distinct(names)).alias("__o"))
+    return keyed.withColumn("__h", F.xxhash64(F.lit(seed), "__id", "__text"))
+
+
+def _sized(keyed: DataFrame) -> DataFrame:
+    sized = keyed.withColumn("__size", words_in(F.col("__t"))).drop("__t")
+    return sized.withColumns({"__b": F.shiftrightunsigned("__h", 52).cast("int"), "__c": F.floor(F.log2(F.greatest("__size", F.lit(1)))).cast("int")})
+
+
+def _placed(sized: DataFrame, shared: DataFrame) -> DataFrame:
+    """With __p, the pattern of the row's text."""
+    return sized.join(_small(shared), "__text", "left").withColumn("__p", F.coalesce("__all", "__o")).drop("__all")
+
+
+def _marked(placed: DataFrame, groups: DataFrame, cuts: DataFrame) -> DataFrame:
+    return placed.join(_small(groups), ["__p", "__o"]).join(_small(cuts), ["__g", "__c"])
+
+
+_ON_CUT = "coalesce(__b = __cut, false)"
+
+
+def _ends(rows: DataFrame) -> DataFrame:
+    """rows of the cuts' slices, with __end: the tokens of the class up to and with the row."""
+    order = Window.partitionBy("__g", "__c", F.expr(_ON_CUT)).orderBy("__h", "__id", "__text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("__end", F.col("__before") + F.sum("__size").over(order))
+
+
+_ODD = (F.col("__end") > F.col("__goal")) & (F.col("__end") - F.col("__size") < F.col("__goal"))
+
+
+def mix_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> Mix:
+    spark = docs.sparkSession
+    rows = cut(_sized(_keyed(docs, doc_id, text, source, seed)).drop("__row"), "mix")
+    texts = rows.where("__size > 0").groupBy("__text").agg(F.collect_set("__o").alias("__os"), F.max("__size").alias("__size"))  # a text's memberships
+    texts = cut(texts.withColumn("__all", F.array_sort(F.array_distinct(F.flatten("__os")))), "texts")
+    shared = cut(texts.where(F.size("__os") > 1).select("__text", "__all"), "shared")
+    slices = cut(_placed(rows, shared).groupBy("__p", "__o", "__c", "__b").agg(F.sum("__size").alias("__n")), "slices")
+
+    held = sorted((tuple(r[0]), tuple(r[1]), int(r[2])) for r in slices.groupBy("__p", "__o").agg(F.sum("__n")).collect())
+    fresh = {tuple(r[0]): int(r[1]) for r in texts.groupBy("__all").agg(F.sum("__size")).collect()}
+    names = sorted({s for _, o, _ in held for s in o})
+    size = dict.fromkeys(names, 0)
+    for _, o, n in held:
+        for s in o:
+            size[s] += n
+    target = dict(zip(names, targets_of([*size.items()], [weights[i % len(weights)] for i in range(len(names))], repeats), strict=True))
+    overlapping = {s for p, *_ in held for s in p if len(p) > 1}
+    at = {s: i for i, s in enumerate(sorted(overlapping))}
+    patterns: dict[tuple, list] = {}
+    for p, o, n in held:
+        if overlapping & {*o}:
+            patterns.setdefault(p, []).append((o, n))
+    flow = min_cost_flow([(fresh.get(p, 0), [(tuple(at[s] for s in o), n) for o, n in groups]) for p, groups in patterns.items()], [round(target[s]) for s in at], repeats)
+    sent = {(p, o): f for (p, groups), x in zip(patterns.items(), flow, strict=True) for (o, _), f in zip(groups, x, strict=True)}
+
+    plan, rests = [], []
+    for g, (p, o, n) in enumerate(held):
+        full, rest = divmod(sent[p, o] if (p, o) in sent else round(target[o[0]]), n) if n else (0, 0)
+        rests.append(rest)
+        plan.append((g, list(p), list(o), full, rest / n if n else 0.0, [size[s] for s in o], [target[s] for s in o]))
+    names_of = T.ArrayType(T.StringType())
+    schema = T.StructType([T.StructField(x, t) for x, t in (("__g", T.IntegerType()), ("__p", names_of), ("__o", names_of), ("__full", T.LongType()), ("__share", T.DoubleType()), ("source_sizes", T.ArrayType(T.LongType())), ("targets", T.ArrayType(T.DoubleType())))])
+    groups = spark.createDataFrame(plan, schema)
+
+    # every size class of a group gives its share of the rest; in each, one document may straddle the cut
+    within = slices.join(_small(groups.select("__g", "__p", "__o", "__share")), ["__p", "__o"])
+    of_class = Window.partitionBy("__g", "__c")  # at most SLICES rows
+    within = within.withColumns({"__end": F.sum("__n").over(of_class.orderBy("__b")), "__goal": F.floor(F.sum("__n").over(of_class) * F.col("__share"))})
     inside = (F.col("__end") > F.col("__goal")) & (F.col("__end") - F.col("__n") < F.col("__goal"))
-    cuts = cuts.groupBy("__p", "__c").agg(
-        F.max(F.when(F.col("__end") <= F.col("__goal"), F.col("__b"))).alias("__last"), F.max(F.when(F.col("__end") <= F.col("__goal"), F.col("__end"))).alias("__got"),
+    below = F.col("__end") <= F.col("__goal")
+    cuts = within.groupBy("__g", "__c").agg(
+        F.max(F.when(below, F.col("__b"))).alias("__last"), F.max(F.when(below, F.col("__end"))).alias("__got"),
         F.max(F.when(inside, F.col("__b"))).alias("__cut"), F.max(F.when(inside, F.col("__end") - F.col("__n"))).alias("__before"), F.max("__goal").alias("__goal"),
     )
-    cuts = cut(cuts.withColumnsRenamed({"__p": "__q", "__c": "__d"}), "cuts")  # a row for each pattern and size class
-    marked = docs.join(plan, F.col("__p") == F.col("__q")).drop("__q").join(F.broadcast(cuts), (F.col("__p") == F.col("__q")) & (F.col("__c") == F.col("__d"))).drop("__q", "__d")
-    on_cut = F.coalesce(F.col("__b") == F.col("__cut"), F.lit(False))
-    rows = Window.partitionBy("__p", "__c").orderBy("__h", *key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = marked.where(on_cut).withColumn("__end", F.col("__before") + F.sum(size).over(rows))
-    edge = edge.withColumn("__odd", (F.col("__end") > F.col("__goal")) & (F.col("__end") - F.col(size) < F.col("__goal")))
-    left = dict(rests)
-    for r in cuts.select("__q", "__got").where("__cut is null and __got is not null").collect():
-        left[tuple(r[0])] -= r[1]
-    odd: dict[tuple, list] = {}
-    for r in edge.where("__odd").select("__p", "__c", size, "__end").collect():  # one a pattern and size class
-        odd.setdefault(tuple(r[0]), []).append((r[2], r[1]))
-        left[tuple(r[0])] -= r[3] - r[2]
-    taken = [(list(p), c, c in nearest_sum(sorted(x, reverse=True), left[p])) for p, x in sorted(odd.items()) for _, c in x]
-    taken = F.broadcast(docs.sparkSession.createDataFrame(taken, T.StructType([T.StructField("__q", T.ArrayType(T.StringType())), T.StructField("__d", T.IntegerType()), T.StructField("__take", T.BooleanType())])))
-    edge = edge.join(taken, (F.col("__p") == F.col("__q")) & (F.col("__c") == F.col("__d")), "left").drop("__q", "__d")
-    edge = edge.withColumn("__extra", ((F.col("__odd") & F.coalesce("__take", F.lit(False))) | (F.col("__end") <= F.col("__goal"))).cast("int")).drop("__odd", "__take", "__end")
-    whole = marked.where(~on_cut).withColumn("__extra", F.coalesce(F.col("__b") < F.col("__cut"), F.col("__b") <= F.col("__last"), F.lit(False)).cast("int"))
-    times = F.when(F.col(size) > 0, F.least(F.col("__full") + F.col("__extra"), F.lit(repeats))).otherwise(0).cast("int")
-    out = whole.unionByName(edge).withColumn("times", times).withColumnsRenamed({"__sizes": "source_sizes", "__targets": "targets"})
-    return out.drop("__p", "__c", "__h", "__b", "__full", "__rest", "__share", "__last", "__got", "__cut", "__before", "__goal", "__extra")
-
-
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """For each row: doc_id, text_hash, size, source_size, target, times."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_in(F.col(text)).alias("size"), F.array(F.col(source).cast("string")).alias("sources"))
-    out = mixed(rows, "size", "sources", key=("doc_id", "text_hash"), **options)
-    return out.select("doc_id", "text_hash", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "times")
-
-
-def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    cuts = cut(cuts, "cuts")
+    edge = cut(_ends(_marked(_placed(rows, shared), groups, cuts).where(_ON_CUT)), "edge")
+    for g, got in cuts.select("__g", "__got").where("__cut is null and __got is not null").collect():
+        rests[g] -= got
+    odd: dict[int, list] = {}
+    for g, c, n, end in edge.where(_ODD).select("__g", "__c", "__size", "__end").collect():  # one a group and class
+        odd.setdefault(g, []).append((n, c))
+        rests[g] -= end - n
+    taken = [(g, c, c in nearest_sum(sorted(x, reverse=True), rests[g])) for g, x in sorted(odd.items()) for _, c in x]
+    taken = spark.createDataFrame(taken, "__g int, __c int, __take boolean")
+    return Mix(shared, groups, cut(cuts.join(_small(taken), ["__g", "__c"], "left"), "cuts"), cut(edge.select("__h").distinct(), "hashes"), repeats)
+
+
+def applied(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
+    """For each row of docs: __row, text_hash, size, times, source_sizes, targets. Only rows in the slices of cuts move."""
+    keyed, hashes = _keyed(docs, doc_id, text, source, seed), _small(mix.hashes)
+    ready = lambda rows: _marked(_placed(_sized(rows), mix.shared), mix.groups, mix.cuts)
+    slice_extra = F.coalesce(F.col("__b") < F.col("__cut"), F.col("__b") <= F.col("__last"), F.lit(False))
+    whole = ready(keyed.join(hashes, "__h", "left_anti")).withColumn("__extra", slice_extra)
+    edge = _ends(ready(keyed.join(hashes, "__h", "left_semi")))  # a row of another source may have the hash of one on a cut
+    row_extra = (F.col("__end") <= F.col("__goal")) | (_ODD & F.coalesce("__take", F.lit(False)))
+    edge = edge.withColumn("__extra", F.when(F.expr(_ON_CUT), row_extra).otherwise(slice_extra)).drop("__end")
+    rows = whole.unionByName(edge)
+    times = F.when(F.col("__size") > 0, F.least(F.col("__full") + F.col("__extra").cast("int"), F.lit(mix.repeats))).otherwise(0).cast("int")
+    return rows.select("__row", F.col("__text").alias("text_hash"), F.col("__size").alias("size"), times.alias("times"), "source_sizes", "targets")
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **options) -> DataFrame:
+    """For each row: doc_id, text_hash, size, source_size, target (of its first source), times (how often the mix takes it)."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    out = applied(docs, mix_of(docs, seed=seed, **options), seed=seed)
+    return out.select("__row.doc_id", "text_hash", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "times")
+
+
+def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken; all their columns."""
-    taken = mixed_documents(docs, doc_id, text, source, **options).where("times > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("times").alias("__times"))
-    taken = taken.groupBy("__id", "__hash").agg(F.max("__times").alias("__times"))
-    met = docs.join(taken, docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__hash")))
-    return met.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*(F.col(c) for c in docs.columns))
+    names = {"doc_id": doc_id, "text": text, "source": source, "seed": seed}
+    taken = applied(docs, mix_of(docs, **names, **options), **names).where("times > 0")
+    return taken.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("__row.*")
