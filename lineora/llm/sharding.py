@@ -1,16 +1,18 @@
 """Sharding by histogram sort: shards of near equal bytes, in the order of a key.
 
-The key is (hash of the text, doc_id), so equal texts lie side by side. Splitters are found before anything moves: in
+The key is (MD5 of the text, doc_id), so equal texts lie side by side. Splitters are found before anything moves: in
 each round all partitions count the exact bytes and rows below a set of candidate keys, and each splitter's bracket
 shrinks to the two candidates around its target, until the bytes below it are within tolerance or no key lies between.
 The rows are then exchanged once, by the ranges between splitters; ranges longer than one task's share are cut further
-at counted keys, so that a shard is not one task. A row's slot is its rank in its range plus the rows counted before
-that range.
+at counted keys, between the copies of a text if need be, so that neither a shard nor a hot text is one task. A row's
+slot is its rank in its range plus the rows counted before that range.
 
-Gathered on the driver in a round: PROBES counts for each splitter, whatever the input.
+Gathered on the driver in a round: PROBES counts for each splitter, whatever the input; at the end a count for each range
+of about TASK_BYTES (16 bytes each; 1.6 million for 100 TB), which are broadcast.
 
-Defined cases: null and empty texts are 8 bytes; null ids sort first among equal texts; repeated rows have keys of
-their own only up to their number (ties keep one shard); empty tables give an empty result.
+Defined cases: null and empty texts are 8 bytes; ids that are no whole numbers are ordered by their hash; null ids sort
+first among equal texts; repeated rows have one key and keep one shard; empty tables give an empty result; other columns
+stay (keep), whatever their names, but for those named like the result's; a long text is a row like others.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lineora.llm.common import cut
 
@@ -38,10 +41,10 @@ def _below(high: np.ndarray, low: np.ndarray, probes: list[tuple[int, int]]) ->
     """For each row, how many probes are at or below its key."""
     ph, pl = np.array([x for x, _ in probes], np.int64), np.array([x for _, x in probes], np.int64)
     out = np.searchsorted(ph, high, "right")
-    tied = np.flatnonzero(np.searchsorted(ph, high, "left") < out)
-    for i in tied:  # rows whose hash is that of a probe
-        a, b = np.searchsorted(ph, high[i], "left"), out[i]
-        out[i] = a + np.searchsorted(pl[a:b], low[i], "right")
+    first = np.searchsorted(ph, high, "left")
+    for a in np.unique(first[first < out]):  # probes of one hash, and all rows that have it
+        rows = np.flatnonzero((first == a) & (out > a))
+        out[rows] = a + np.searchsorted(pl[a : out[rows[0]]], low[rows], "right")
     return out
 
 
@@ -92,20 +95,37 @@ def splitters(rows: DataFrame, total: int, shards: int, tolerance: float = TOLER
     return [done[i] for i in range(len(goals))]
 
 
+def _inner_cuts(rows: DataFrame, ends: list[int], total: int, shards: int) -> tuple[list[int], list[int]]:
+    """Sorted keys that cut the shards into ranges of about TASK_BYTES, and the rows below each."""
+    inner = max(1, -(-total // (shards * TASK_BYTES)))
+    bounds = [0, *ends, 1 << 128]
+    new = sorted({*ends, *(a + (b - a) * j // inner for a, b in zip(bounds, bounds[1:], strict=False) for j in range(1, inner))} - {0})
+    found: dict[int, tuple[int, int]] = {0: (0, 0)}
+    while new:
+        sums, n = _counts(rows, new)
+        found |= dict(zip(new, zip(sums.tolist(), n.tolist(), strict=True), strict=True))
+        cuts = sorted(found)
+        heavy = [(a, b) for a, b in zip(cuts, [*cuts[1:], 1 << 128], strict=True) if (found[b][0] if b in found else total) - found[a][0] > 2 * TASK_BYTES]
+        new = sorted({a + (b - a) * j // (PROBES + 1) for a, b in heavy for j in range(1, PROBES + 1)} - found.keys())
+    cuts = sorted(found.keys() - {0})
+    return cuts, [found[x][1] for x in cuts]
+
+
 def sharded(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE, keep: bool = False) -> DataFrame:
     """Rows with doc_id, size, text_crc32, shard, slot; keep: and all other columns of docs. Rows of a shard are in key order by slot."""
     body = F.coalesce(F.col(text), F.lit(""))
     extra = [c for c in docs.columns if keep and c not in ("doc_id", "size", "text_crc32", "shard", "slot")]
-    low = F.coalesce(F.col(doc_id).cast("long"), F.lit(-_TOP))
-    wide = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("__hash"), low.alias("__low"), *extra)
+    whole = isinstance(docs.schema[doc_id].dataType, T.IntegralType)
+    low = F.coalesce(F.col(doc_id).cast("long") if whole else F.xxhash64(doc_id), F.lit(-_TOP))
+    # the first 60 bits of the MD5, moved to the whole range of a long
+    high = (F.conv(F.substring(F.md5(body), 1, 15), 16, 10).cast("long") - (1 << 59)) * 16
+    own = [F.struct(*extra).alias("__row")] if extra else []
+    wide = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), high.alias("__hash"), low.alias("__low"), *own)
     rows = cut(wide.select("size", "__hash", "__low"), "shard") if keep else (wide := cut(wide, "shard"))
     total, n = (int(x or 0) for x in rows.agg(F.sum("size"), F.count("*")).first())
-    ends = splitters(rows.select("__hash", "__low", "size"), total, shards, tolerance) if n else []
-    # further cuts inside the shards, evenly in the hash; exact counts at all of them
-    inner = max(1, -(-total // (shards * TASK_BYTES)))
-    bounds = [0, *ends, 1 << 128]
-    cuts = sorted({*ends, *(a + (b - a) * j // inner for a, b in zip(bounds, bounds[1:], strict=False) for j in range(1, inner))} - {0})
-    before = _counts(rows.select("__hash", "__low", "size"), cuts)[1].tolist() if n and cuts else []
+    narrow = rows.select("__hash", "__low", "size")
+    ends = splitters(narrow, total, shards, tolerance) if n else []
+    cuts, before = _inner_cuts(narrow, ends, total, shards) if n else ([], [])
     shard_of = np.searchsorted(np.array(ends, object), np.array([0, *cuts], object), "right").tolist()
     starts = [0, *before]
     first: dict[int, int] = {}
@@ -124,4 +144,4 @@ def sharded(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str
     places = F.broadcast(docs.sparkSession.createDataFrame(table, "__at int, shard int, __start long"))  # a row for each range
     order = Window.partitionBy("__range").orderBy("__hash", "__low", "text_crc32", "size")
     placed = placed.withColumn("slot", (F.row_number().over(order) - 1).cast("long")).join(places, F.col("__range") == F.col("__at"))
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("__start")).alias("slot"), *extra)
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("__start")).alias("slot"), *(["__row.*"] if extra else []))
