@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 from lineora.llm.repetition import DUPLICATED, LEAST_WORDS, LINE_CHARS, LINES, TOP
-from lineora.llm.secrets import RULES
+
+
+#: kind, pattern, group and least length of each kind of secret, the base kinds first.
+_KINDS = (
+    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 24),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+)
 
 
 def _spans_sql() -> str:
-    """For each rule the pieces between matches and the matches give every match's place."""
+    """For each kind the pieces between matches and the matches give every match's place."""
     parts = []
-    for i, r in enumerate(RULES):
-        p = "'" + r.pattern.replace("'", "''").replace(r"\x20", " ") + "'"
-        parts.append(f"""SELECT doc_id, '{r.kind}' AS kind, {i} AS place, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+    for i, (kind, pattern, group, _) in enumerate(_KINDS):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"""SELECT doc_id, '{kind}' AS kind, {i} AS place, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
             's': coalesce(list_sum(list_transform(b[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0), 'n': length(m[i]), 'g': length(g[i])}})) AS x
-        FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {r.group}) AS g, regexp_split_to_array(t, {p}) AS b FROM d) WHERE len(m) > 0""")
-    least = " ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in RULES)
+        FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS g, regexp_split_to_array(t, {p}) AS b FROM d) WHERE len(m) > 0""")
+    least = " ".join(f"WHEN '{kind}' THEN {n}" for kind, _, _, n in _KINDS)
     return f"SELECT doc_id, kind, place, CAST(x.s AS BIGINT) AS s, CAST(x.s + x.n AS BIGINT) AS e FROM ({' UNION ALL '.join(parts)}) WHERE x.g >= CASE kind {least} END"
 
 
@@ -26,23 +37,33 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _OP5 = f"""WITH d AS (SELECT doc_id, {_WORDS.format(_LOW.format("coalesce(text, '')"))} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS.format(_LOW.format("coalesce(text, '')"))} AS w FROM benchmark WHERE item_id IS NOT NULL),
-bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS x FROM b, range(1, 100000) r(i) WHERE len(w) > 0 AND i <= len(w) - least(10, len(w)) + 1),
-dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM d, (SELECT DISTINCT n FROM bw) l, range(1, 100000) r(i) WHERE i <= len(w) - n + 1),
+b AS (SELECT item_id, {_WORDS.format(_LOW.format("coalesce(text, '')"))} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) l WHERE len(w) >= n)),
 hits AS (SELECT DISTINCT doc_id, i, n, item_id FROM dw JOIN bw USING (n, x)),
 words AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hits, range(0, 10) s(j) WHERE j < n GROUP BY doc_id),
-items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM hits GROUP BY doc_id)
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR)) FILTER (item_id IS NOT NULL)), ',') AS ids FROM hits GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 _OP6 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS x FROM w, range(1, 100000) r(i) WHERE len(w) > 0 AND i <= len(w) - least(4, len(w)) + 1),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 85 * (na.n + nb.n - shared)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a"""
 
+# The CRC-32 of a text by a table of 256 entries; a splitter lies at the row boundary nearest to its share of all bytes.
+_OP3 = r"""WITH entries AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([CAST(i AS UBIGINT)] || [CAST(0 AS UBIGINT) FOR x IN range(8)], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS UBIGINT), c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+d AS MATERIALIZED (SELECT doc_id, CAST('0x' || substr(md5(t), 1, 15) AS BIGINT) AS h, CAST(octet_length(encode(t)) + 8 AS BIGINT) AS size, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS UBIGINT)) AS b FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+c AS (SELECT doc_id, h, size, CAST(xor(CAST(4294967295 AS UBIGINT), list_reduce([CAST(4294967295 AS UBIGINT)] || b, lambda c, x: xor(c >> 8, entries.t[1 + CAST(xor(c, x) & 255 AS BIGINT)]))) AS BIGINT) AS text_crc32 FROM d, entries),
+k AS (SELECT *, CAST(sum(s) OVER (ORDER BY h, doc_id NULLS FIRST) AS BIGINT) AS hi, CAST(sum(s) OVER () AS BIGINT) AS total FROM (SELECT h, doc_id, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY ALL)),
+ends AS (SELECT list(CASE WHEN goal - (hi - s) <= hi - goal THEN hi - s ELSE hi END) AS x FROM (SELECT *, total * i / 24 AS goal FROM k, range(1, 24) r(i)) WHERE hi - s <= goal AND goal < hi),
+p AS (SELECT h, doc_id, CAST(len(list_filter(ends.x, lambda e: e <= hi - s)) AS INTEGER) AS shard FROM k, ends)
+SELECT c.doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY c.h, c.doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM c JOIN p ON c.h = p.h AND c.doc_id IS NOT DISTINCT FROM p.doc_id"""
+
 _LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {15 - 5 * j}) & 31), 1)" for i in range(8) for j in range(4))
 _OP7 = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages), q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least_id FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_LETTERS} AS payload_digest, CASE WHEN page_id = least_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least_id THEN least_id END AS refers_to FROM q"""
@@ -110,4 +131,4 @@ SELECT doc_id, scored.lang, p AS perplexity, coalesce(l.x, a.x) AS threshold, p
 FROM scored LEFT JOIN limits l ON l.scope = 'own' AND l.lang = scored.lang LEFT JOIN limits a ON a.scope = 'pooled'"""
 
 
-ORACLES: dict[str, str] = {"op2_kneser_ney": _op2_sql(), "op4_repetition": _OP4, "op1_blob_ledger": _OP1, "op5_decontaminate": _OP5, "op6_jaccard_join": _OP6, "op7_warc": _OP7}
+ORACLES: dict[str, str] = {"op3_histogram_sort": _OP3, "op2_kneser_ney": _op2_sql(), "op4_repetition": _OP4, "op1_blob_ledger": _OP1, "op5_decontaminate": _OP5, "op6_jaccard_join": _OP6, "op7_warc": _OP7}

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineora.llm import decontaminate, extract, jaccard, langid, mixture, quality_lm, repetition, secrets, sharding, warc
-from lineora.llm.common import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +17,13 @@ def _digest(spans: Column) -> Column:
 
 
 def op1_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = cut(secrets.scan(docs), "ledger")
-    found = secrets.findings(docs, ledger).drop("text")
+    """Documents arrive in two pushes, by source; the second scans only what the first has not brought."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    ledger = secrets.Ledger(spark)
+    first = F.xxhash64(F.coalesce("source", F.lit(""))) < 0
+    for push in (docs.where(first), docs.where(~first)):
+        ledger.extend(push)
+    found = secrets.findings(docs.drop("source"), ledger.table()).drop("text")
     of_kinds = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     base = of_kinds(*(r.kind for r in secrets.BASE))
     counts = [F.size(of_kinds(r.kind)).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE]
@@ -32,7 +35,7 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.sharded(_table(spark, sf_dir, "documents"), shards=24)
+    out = sharding.sharded(_table(spark, sf_dir, "documents"), shards=24, tolerance=0)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -2,21 +2,27 @@
 
 Every version of a text is a blob, addressed by the SHA-256 of its UTF-8 bytes. The ledger says which (blob, rule and
 rule version) pairs have been scanned and what was found. A scan takes each distinct blob once, only with the rules
-whose current version the ledger lacks for it, and joins the findings back to all rows that hold the blob.
+whose current version the ledger lacks for it, and joins the findings back to all rows that hold the blob. A Ledger is a
+folder of such tables, one for each push of versions, which later pushes and runs extend; a push counts once its
+table is complete.
 
 Defined cases: a null text is the empty blob and has no findings; repeated rows and equal texts are scanned once and all
-get the findings; without rules or rows the result is empty of findings; spans are in code points, end exclusive.
+get the findings; without rules or rows the result is empty of findings; a column of versions named spans gives way to
+the findings, other columns stay whatever their names; spans are in code points, end exclusive; a long text is one blob.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineora.llm.common import cut, fresh_path
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -96,13 +102,41 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
     return unseen(versions, rules, ledger, text).select("blob_id", "text", "rules").mapInArrow(_scan(rules), LEDGER)
 
 
+class Ledger:
+    """The ledger in a folder that all executors share: a table for each push."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.root = spark, root or fresh_path(spark, "ledger")
+
+    def table(self) -> DataFrame:
+        """All complete pushes."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = at(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [x.getPath().toString() for x in fs.listStatus(at(self.root))] if fs.exists(at(self.root)) else []
+        done = sorted(x for x in found if fs.exists(at(f"{x}/_SUCCESS")))
+        return self.spark.read.schema(LEDGER).parquet(*done) if done else self.spark.createDataFrame([], LEDGER)
+
+    def extend(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+        """Scan what the ledger lacks of versions and add it; the new rows."""
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        scan(versions, rules, self.table(), text).write.parquet(path)
+        return self.spark.read.schema(LEDGER).parquet(path)
+
+
+#: Up to so many blobs with findings (about 200 bytes each) are broadcast; beyond, the join is shuffled.
+BROADCAST_BLOBS = 100_000
+
+
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """All columns of versions, and spans: those of the rules' current versions, by start, then in the order of rules."""
     order = F.array(*(F.lit(r.kind) for r in rules)).cast("array<string>")
     names = F.array(*(F.lit(r.name) for r in rules)).cast("array<string>")
     current = ledger.where(F.size("spans") > 0).withColumn("spans", F.filter("spans", lambda s: F.arrays_overlap("rules", F.filter(names, lambda n: F.substring_index(n, "@", 1) == s["kind"]))))
     place = lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("at"), s["end"].alias("end"), s["kind"].alias("kind"))
-    found = current.groupBy("blob_id").agg(F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list("spans"))), place)).alias("spans"))
-    found = found.withColumnRenamed("blob_id", "__blob")
-    out = versions.withColumn("__id", blob_id(text)).join(found, F.col("__id") == F.col("__blob"), "left")
-    return out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,at:bigint,end:int,kind:string>>"))).drop("__id", "__blob")
+    found = current.groupBy("blob_id").agg(F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list("spans"))), place)).alias("__spans"))
+    found = cut(found.withColumnRenamed("blob_id", "__blob"), "findings")
+    found = F.broadcast(found) if found.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS else found.hint("merge")
+    rest = [c for c in versions.columns if c != "spans"]
+    rows = versions.select(F.struct(*rest).alias("__row"), blob_id(text).alias("__id"))
+    spans = F.coalesce("__spans", F.array().cast("array<struct<start:int,at:bigint,end:int,kind:string>>"))
+    return rows.join(found, F.col("__id") == F.col("__blob"), "left").select("__row.*", spans.alias("spans"))
