@@ -9,9 +9,9 @@ and right; it counts only if the extended run of equal words reaches `span`, so
 Benchmark items shorter than `span` words (but not empty) are one window of their own length: for each such length in
 the benchmark all grams of that length are compared.
 
-Defined cases: null and empty texts have no words and no hits; items with a null id are none of a row's
-hits, but decontaminated() drops rows that share a window with them; repeated rows are
-returned as often as they come; empty tables give an empty result; other columns are ignored.
+Defined cases: null and empty texts have no words and no hits; the windows of items with a null id hit words, but the
+null is no id of a row's items; repeated rows are returned as often as they come; empty tables give an empty result;
+other columns are ignored, whatever their names; a long text is one row with its words.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineora.llm.common import cut
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A packed fingerprint: 35 bits of hash above 28 bits of position. An array of 2**28 longs cannot exist in a row.
@@ -133,7 +135,7 @@ MARK = -1
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5) -> DataFrame:
     """For each row of docs: doc_id, text_hash, n_words, spans (array of first and last word index), items (ids with a
     window in the document), n_hit (words inside the spans)."""
-    items = with_words(benchmark.select(F.col(item_id).alias("__item"), F.col(item_text).alias("__t")).where(F.col("__item").isNotNull()), "__t").drop("__t")
+    items = with_words(benchmark.select(F.col(item_id).alias("__item"), F.col(item_text).alias("__t")), "__t").drop("__t")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t")).withColumn("text_hash", F.xxhash64("__t"))
     base = with_words(base, "__t").drop("__t").withColumn("n_words", F.size("__words").cast("long"))
 
@@ -144,7 +146,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     base_fp = fingerprints(base, k, span)
     if known.limit(BROADCAST_FINGERPRINTS + 1).count() <= BROADCAST_FINGERPRINTS:
         found = exploded(F.col("__fps"), "__words").withColumn("__hash", F.shiftrightunsigned("__fp", POSITION_BITS)).join(F.broadcast(known), "__hash", "left")
-        found = found.where(F.col("__item").isNotNull() | (F.col("__fp") == MARK)).withColumn("__p", place)
+        found = found.where(F.col("__q").isNotNull() | (F.col("__fp") == MARK)).withColumn("__p", place)
         found = _extended(found, k, span)
     else:
         narrow = exploded(F.col("__fps")).withColumn("__hash", F.shiftrightunsigned("__fp", POSITION_BITS))
@@ -182,9 +184,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     return grouped.withColumn("n_hit", covered).withColumn("__rows", F.explode(F.array_repeat(F.lit(0), F.col("__rows")))).drop("__rows")
 
 
+#: Up to so many documents to drop (16 bytes each) are broadcast; beyond, the join is shuffled.
+BROADCAST_IDS = 1_000_000
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that share no window with the benchmark, items without an id included; all their columns."""
+    """The rows of docs that share no window with the benchmark; all their columns."""
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
-    benchmark = benchmark.withColumn(options.get("item_id", "item_id"), F.lit(0))  # whose window it is doesn't matter here
     bad = benchmark_hits(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    bad = cut(bad, "bad")
+    bad = F.broadcast(bad) if bad.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else bad.hint("merge")
     return docs.join(bad, docs[doc_id].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text]) == bad["__hash"]), "left_anti")

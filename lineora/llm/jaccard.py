@@ -20,7 +20,8 @@ component are compared with the members of other components. Members of one comp
 
 Defined cases: null texts and texts without words have an empty set and no links; fewer words than `width` give one
 shingle of the whole text; repeated rows are equal sets; null ids take part and never name a component unless all ids
-in it are null; empty tables give empty results.
+in it are null; ids may have any type that has an order; other columns are ignored, whatever their names; a long text
+is one set; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -134,8 +135,7 @@ def _scan(width: int):
         load = total / len(counts)
         high = np.flatnonzero(counts >= load + 8 * math.sqrt(load) + 8)
         if len(high):
-            empty = pa.nulls(len(high), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([1] * len(high), pa.int8()), empty, empty, pa.array(high, pa.int64()), pa.array(counts[high], pa.int64()), pa.nulls(len(high), pa.list_(pa.int64()))], ["kind", "doc_id", "text_hash", "sig", "n", "bitmap"])
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(high), pa.int8()), pa.nulls(len(high), batch.column("doc_id").type), pa.nulls(len(high), pa.int64()), pa.array(high, pa.int64()), pa.array(counts[high], pa.int64()), pa.nulls(len(high), pa.list_(pa.int64()))], ["kind", "doc_id", "text_hash", "sig", "n", "bitmap"])
 
     return scan
 
@@ -238,8 +238,8 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """For each row of docs: doc_id, text_hash, n_shingles, component_id (smallest doc_id reachable by links). keyed: and
     root, a number of the component itself, null for texts without words."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scanned = cut(texts.mapInArrow(_scan(width), "kind byte, doc_id long, text_hash long, sig long, n long, bitmap array<long>"), "scan")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    scanned = cut(texts.mapInArrow(_scan(width), f"kind byte, doc_id {texts.schema['doc_id'].dataType.simpleString()}, text_hash long, sig long, n long, bitmap array<long>"), "scan")
     rows = scanned.where("kind = 0").drop("kind", "bitmap")
     nodes = cut(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.max("n").alias("n")), "nodes")
     maps = cut(scanned.where("kind = 0 and bitmap is not null").groupBy("sig").agg(F.first("bitmap").alias("bitmap")), "maps")
@@ -303,6 +303,6 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     hashed = docs.withColumn("__of", text_hash(F.col(text).cast("string")))
-    kept = hashed.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__hash")), "left_anti")
+    kept = hashed.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__hash")), "left_anti")
     twice = not rows.where("n > 1").isEmpty()
     return (kept.dropDuplicates([doc_id, "__of"]) if twice else kept).drop("__of")
