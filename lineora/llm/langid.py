@@ -9,7 +9,8 @@ counts, and sums are exact integers, so reruns and other partitionings agree.
 Gathered on the driver: one vector of DIMENSIONS numbers for each label, so memory is bounded by the number of labels.
 
 Defined cases: null texts and texts without letters are `und` with score 0; without training rows all are `und`; ties
-go to the smaller label; repeated rows are predicted alike; null labels are not learned.
+go to the smaller label; repeated rows are predicted alike; null labels are not learned; columns named like the result's
+(predicted) give way, others stay whatever their names; empty tables give empty results; a long text is one sum.
 """
 
 from __future__ import annotations
@@ -155,23 +156,24 @@ def predicted(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text
     return clear.mapInArrow(guess, schema)
 
 
-#: Below this cosine with every prototype, a text is in none of the languages.
-LEAST_SCORE = 0.05
-#: Texts of fewer trigrams are held to LEAST_SCORE only: their cosines are no larger than those of noise.
-SHORT = 32
-#: Other texts reach this quantile of the cosines of their language's labelled texts, and at least four standard
-#: deviations of an unrelated text's cosine.
-QUANTILE, NOISE = 0.005, 4 / DIMENSIONS**0.5
+#: Texts of fewer trigrams than SHORT reach LEAST_SCORE only, as their cosines are no larger than those of noise; texts of
+#: fewer than LONG reach MIDDLE_SCORE, about three standard deviations of an unrelated text's cosine.
+LEAST_SCORE, SHORT, MIDDLE_SCORE, LONG = 0.03, 32, 0.14, 128
+#: Other texts lie above four standard deviations, by a share of the way from there to a low quantile of the cosines of
+#: their language's labelled long texts.
+QUANTILE, NOISE, SHARE = 0.005, 4 / DIMENSIONS**0.5, 1 / 3
 
 
-def in_known_language(docs: DataFrame, text: str = "text", label: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+def in_known_language(docs: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:
     """The rows of docs in a language learned from their own labels; all their columns."""
-    renamed = {c: f"__{c}" for c in ("lang_pred", "score", "n_trigrams") if c in docs.columns}
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*names)
+    name, of = names[docs.columns.index(label)], names[docs.columns.index(text)]
     learned = prototypes(docs, text, label)
-    name, of = renamed.get(label, label), renamed.get(text, text)
-    found = cut(predicted(docs.withColumnsRenamed(renamed), learned, of, "n_trigrams"), "languages")
-    own = found.where((F.col(name).cast("string") == F.col("lang_pred")) & (F.col("n_trigrams") >= SHORT))
-    limits = own.groupBy(F.col("lang_pred").alias("__of")).agg(F.percentile_approx("score", QUANTILE, 10_000).alias("__limit"))
+    found = cut(predicted(renamed, learned, of, "n_trigrams"), "languages")
+    own = found.where((F.col(name).cast("string") == F.col("lang_pred")) & (F.col("n_trigrams") >= LONG))
+    limits = own.groupBy(F.col("lang_pred").alias("__of")).agg(F.percentile_approx("score", QUANTILE, 10_000).alias("__low"))
     found = found.join(F.broadcast(limits), F.col("lang_pred") == F.col("__of"), "left")  # a row for each language
-    limit = F.when(F.col("n_trigrams") < SHORT, F.lit(least)).otherwise(F.greatest(F.lit(least), F.lit(NOISE), "__limit"))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= limit)).drop("lang_pred", "score", "n_trigrams", "__of", "__limit").toDF(*docs.columns)
+    above = F.lit(NOISE) + F.greatest(F.coalesce("__low", F.lit(0.0)) - NOISE, F.lit(0.0)) * SHARE
+    limit = F.when(F.col("n_trigrams") < SHORT, F.lit(LEAST_SCORE)).when(F.col("n_trigrams") < LONG, F.lit(MIDDLE_SCORE)).otherwise(above)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= limit)).select(*names).toDF(*docs.columns)
