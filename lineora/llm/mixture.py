@@ -183,7 +183,7 @@ def _ends(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__end", F.col("__before") + F.sum("__size").over(order))
 
 
-_ODD = (F.col("__end") > F.col("__goal")) & (F.col("__end") - F.col("__size") < F.col("__goal"))
+_ODD = "__end > __goal and __end - __size < __goal"
 
 
 def mix_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> Mix:
@@ -250,7 +250,7 @@ def applied(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text
     slice_extra = F.coalesce(F.col("__b") < F.col("__cut"), F.col("__b") <= F.col("__last"), F.lit(False))
     whole = ready(keyed.join(hashes, "__h", "left_anti")).withColumn("__extra", slice_extra)
     edge = _ends(ready(keyed.join(hashes, "__h", "left_semi")))  # a row of another source may have the hash of one on a cut
-    row_extra = (F.col("__end") <= F.col("__goal")) | (_ODD & F.coalesce("__take", F.lit(False)))
+    row_extra = (F.col("__end") <= F.col("__goal")) | (F.expr(_ODD) & F.coalesce("__take", F.lit(False)))
     edge = edge.withColumn("__extra", F.when(F.expr(_ON_CUT), row_extra).otherwise(slice_extra)).drop("__end")
     rows = whole.unionByName(edge)
     times = F.when(F.col("__size") > 0, F.least(F.col("__full") + F.col("__extra").cast("int"), F.lit(mix.repeats))).otherwise(0).cast("int")

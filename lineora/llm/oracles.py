@@ -95,9 +95,8 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 
 def _op2_sql() -> str:
     """The model in SQL: counts, continuation counts, discounts, and the sum of each document's weights."""
-    d = ", ".join(
-        f"CASE WHEN n1 = 0 THEN {i + 0.5} WHEN n{i + 1} = 0 THEN {i + 0.5 if i else 0.5} ELSE least(greatest({i + 1} - {i + 2} * (n1 / (n1 + 2 * n2)) * n{i + 2} / n{i + 1}, 0.05), {i + 0.95}) END AS d{i + 1}" for i in range(3)
-    )
+    y = "CASE WHEN n1 = 0 THEN 0.5 ELSE n1 / (n1 + 2 * n2) END"
+    d = ", ".join(f"CASE WHEN n{i} = 0 THEN {i / 2} ELSE least(greatest({i} - {i + 1} * ({y}) * n{i + 1} / n{i}, 0.05), {i - 1 + 0.95}) END AS d{i}" for i in (1, 2, 3))
     of = lambda t: f"SELECT m, {d} FROM (SELECT m, CAST(count(*) FILTER (n = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (n = 2) AS DOUBLE) AS n2, CAST(count(*) FILTER (n = 3) AS DOUBLE) AS n3, CAST(count(*) FILTER (n = 4) AS DOUBLE) AS n4 FROM {t} GROUP BY m)"
     totals = lambda t, o, keys: f"SELECT m, {keys}c, k, d1 * n1 + d2 * n2 + d3 * n3 AS s FROM (SELECT m, {keys}CAST(sum(n) AS BIGINT) AS c, count(*) AS k, count(*) FILTER (n = 1) AS n1, count(*) FILTER (n = 2) AS n2, count(*) FILTER (n > 2) AS n3 FROM {t} GROUP BY ALL) JOIN {o} USING (m)"
     lost = "CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"

@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -65,60 +67,72 @@ def test_ledger_is_incremental(spark):
 # 2
 
 
-def test_kneser_ney_is_a_distribution():
-    counts = np.random.default_rng(0).poisson(0.3, (5, 5, 5))
-    old = quality_lm.CLASSES
-    quality_lm.CLASSES = 5
-    try:
-        p = np.exp(quality_lm.kneser_ney(counts))
-    finally:
-        quality_lm.CLASSES = old
-    assert np.allclose(p.sum(-1), 1) and p.min() > 0
+def brute_kneser_ney(trusted, texts):
+    """Perplexities by the textbook recursion, with counts in dictionaries."""
+    framed = lambda t: ["<s> ", "<s> ", *t.split(), "</s> "]
+    c3 = Counter(g for t in trusted for g in zip(framed(t), framed(t)[1:], framed(t)[2:], strict=False))
+    c2 = Counter(g[1:] for g in c3)
+    c1 = Counter(g[1:] for g in c2)
+
+    def smoothed(counts):
+        n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        d = [k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] else (k + 1) / 2 for k in range(3)]
+        d = [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)]
+        less = lambda c: d[min(c, 3) - 1]
+        total, lost = Counter(), Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            lost[g[:-1]] += less(c)
+
+        def p(g, lower):
+            if not total[g[:-1]]:
+                return lower
+            own = counts[g] - less(counts[g]) if counts[g] else 0
+            return (own + lost[g[:-1]] * lower) / total[g[:-1]]
+
+        return p
+
+    p3, p2, p1 = smoothed(c3), smoothed(c2), smoothed(c1)
+    out = []
+    for t in texts:
+        f = framed(t)
+        logs = [math.log(p3((u, v, w), p2((v, w), p1((w,), 1 / (len(c1) + 1))))) for u, v, w in zip(f, f[1:], f[2:], strict=False)]
+        out.append(math.exp(-sum(logs) / len(logs)) if t.split() else None)
+    return out
 
 
-def test_sharded_model_is_the_dense_one(spark, monkeypatch):
-    alphabet = "aé漢1\n"
-    monkeypatch.setattr(quality_lm, "CLASSES", len(alphabet))
-    monkeypatch.setattr(quality_lm, "BROADCAST_GRAMS", 3)
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_kneser_ney_by_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(quality_lm, "HOT", hot)
     rng = random.Random(6)
-    texts = ["".join(rng.choices(alphabet, (5, 4, 3, 2, 1), k=rng.randrange(1, 90))) for _ in range(40)]
-    counts = np.zeros((5,) * quality_lm.ORDER, np.int64)
-    ends = lambda t: zip(*([alphabet.index(c) for c in ("\n" * (quality_lm.ORDER - 1) + t)[i : i + len(t)]] for i in range(quality_lm.ORDER)), strict=True)
-    for t in texts[:30]:
-        for g in ends(t):
-            counts[g] += 1
-    logs = quality_lm.kneser_ney(counts)
-    df = spark.createDataFrame([(i, t, "x" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
-    model = quality_lm.trained(df.where("doc_id < 30").withColumn("lang", F.lit(None).cast("string")))
-    got = {r["doc_id"]: r["perplexity"] for r in quality_lm.scored(df, model).collect()}
-    for i, t in enumerate(texts):
-        assert np.isclose(got[i], np.exp(-np.mean([logs[g] for g in ends(t)])))
+    words = [*"abcdefghij", "é", "漢字"]
+    texts = [" ".join(rng.choices(words, range(12, 0, -1), k=rng.randrange(1, 40))) for _ in range(40)] + ["a unseen b", "new", "", " \n", "a " * 3000]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate([*texts, texts[3]])], "doc_id long, text string, m long").repartition(3)
+    weights, unseen = quality_lm.trained(df.where("doc_id < 30").select("m", "text"))
+    got = {r["doc_id"]: r["perplexity"] for r in quality_lm.scored(df, weights, unseen).collect()}
+    for i, want in enumerate(brute_kneser_ney(texts[:30], texts)):
+        assert got[i] is None if want is None else got[i] == pytest.approx(want, rel=1e-5, abs=1e-4)
+    assert got[len(texts)] == got[3]
 
 
-def test_codes_of_a_large_alphabet():
-    points = np.random.default_rng(2).integers(0, 0x110000, 30_000).astype(np.uint32)
-    rows = np.concatenate((points.reshape(-1, quality_lm.ORDER), points.reshape(-1, quality_lm.ORDER)[:50]))
-    found, n = quality_lm._merged(rows)
-    assert {tuple(x): c for x, c in zip(found.tolist(), n.tolist(), strict=True)} == Counter(map(tuple, rows.tolist()))
-
-
-def test_letters_are_not_folded(spark):
-    rows = [(i, "жук" * 40, "ru") for i in range(20)] + [(90, "".join(chr(ord(c) + 4) for c in "жук" * 40), "ru")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r["kept"] for r in quality_lm.classified(df, labels).collect()}
-    assert got[0] and not got[90]
+def test_hashes_are_those_of_spark(spark):
+    r = spark.sql("SELECT xxhash64(5L, -7L) AS x, xxhash64(5L) AS y").first()
+    one = quality_lm.hashed(np.array([5], np.uint64), np.uint64(42))
+    two = quality_lm.hashed(np.array([-7], np.int64).view(np.uint64), one)
+    assert (int(two.view(np.int64)[0]), int(one.view(np.int64)[0])) == (r["x"], r["y"])
 
 
 def test_quality(spark):
     rng = random.Random(3)
-    rows = [(i, prose(rng, 80), "en", "s") for i in range(60)] + [(90, "%%% ### $$$ &&& " * 20, "en", "s"), (91, None, "en", "s"), (92, prose(rng, 80), None, "s"), (93, "", "xx", "s")]
-    df = spark.createDataFrame(rows, DOCS)
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r["kept"] for r in quality_lm.classified(df, labels).collect()}
-    assert len(got) == 64 and sum(got[i] for i in range(60)) >= 58 and got[92]
-    assert not got[90] and not got[91] and not got[93]
-    assert quality_lm.classified(df, labels.limit(0)).where("kept").count() == 62
+    rows = [(i, prose(rng, 80), "en", "s") for i in range(60)] + [(90, " ".join(f"%%{i}" for i in range(80)), "en", "s"), (91, None, "en", "s"), (92, prose(rng, 80), None, "s"), (93, "", "xx", "s"), (94, prose(rng, 80), "xx", "s"), (94, prose(rng, 80), "xx", "s")]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"kept": F.lit("clash"), "m": F.lit(1)})
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)] + [(3, 1, 0), (None, 1, None), (90, 0, None)], "doc_id long, quality int, toxic int")
+    got = Counter((r["doc_id"], r["kept"]) for r in quality_lm.classified(df, labels).collect())
+    assert sum(got.values()) == 66 and sum(got[i, True] for i in range(60)) >= 58 and got[92, True] and got[94, True] == 2
+    assert got[90, False] and got[91, False] and got[93, False]
+    assert quality_lm.classified(df, labels.limit(0)).where("kept").count() == 64
+    assert quality_lm.classified(df.limit(0), labels).count() == 0
 
 
 # 3
@@ -137,6 +151,32 @@ def test_sharding(spark, docs):
     assert sorted(map(tuple, out.astype(str).values)) == sorted(map(tuple, again.astype(str).values))
 
 
+def test_splitters_by_brute_force(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(1, "twice"), (1, "twice"), (None, None), (None, "x" * 4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: (hashlib.md5((r[1] or "").encode()).hexdigest()[:15], r[0] is not None, r[0] or 0)
+    size = lambda r: len((r[1] or "").encode()) + 8
+    total, groups, at = sum(map(size, rows)), [], 0
+    for k, g in itertools.groupby(sorted(rows, key=key), key):
+        groups.append((k, at, at := at + sum(map(size, g))))
+    ends = []
+    for i in range(1, 5):
+        goal = total * i / 5
+        _, lo, hi = next(g for g in groups if g[1] <= goal < g[2])
+        ends.append(lo if goal - lo <= hi - goal else hi)
+    shard_of = {k: sum(e <= lo for e in ends) for k, lo, _ in groups}
+    want, slots = Counter(), Counter()
+    for r in sorted(rows, key=key):
+        s = shard_of[key(r)]
+        want[r[0], size(r), zlib.crc32((r[1] or "").encode()), s, slots[s]] += 1
+        slots[s] += 1
+    for bound in (64 << 20, 500):  # the second cuts shards into many ranges
+        old, sharding.TASK_BYTES = sharding.TASK_BYTES, bound
+        got = Counter(tuple(r) for r in sharding.sharded(df, shards=5, tolerance=0).select("doc_id", "size", "text_crc32", "shard", "slot").collect())
+        sharding.TASK_BYTES = old
+        assert got == want
+
+
 # 4
 
 
@@ -183,7 +223,7 @@ def brute_hits(docs, bench, span=10):
     for i, t in bench:
         w = cut(t)
         n = min(span, len(w))
-        for j in range(len(w) - n + 1) if w and i is not None else ():
+        for j in range(len(w) - n + 1) if w else ():
             windows.setdefault(tuple(w[j : j + n]), set()).add(i)
     out = []
     for d, t in docs:
@@ -192,7 +232,7 @@ def brute_hits(docs, bench, span=10):
             if found := windows.get(tuple(w[j : j + n])) if j + n <= len(w) else None:
                 hit |= {*range(j, j + n)}
                 items |= found
-        out.append((d, len(w), len(hit), tuple(sorted(items))))
+        out.append((d, len(w), len(hit), tuple(sorted(items - {None}))))
     return sorted(out)
 
 
@@ -294,6 +334,14 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_with_repeated_ids(spark):
+    rows = [(1, "aa"), (1, "bbb"), (5, "bbb"), (5, "bbb"), (7, "aa"), (None, "aa"), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("digest", F.lit("clash"))
+    digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    got = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in warc.round_trip(df).collect())
+    assert got == Counter((i, len((t or "").encode()), digest(t)) for i, t in rows)
+
+
 def test_warc_in_many_splits(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
     try:
@@ -332,6 +380,42 @@ def test_foreign_and_noise_texts_are_in_no_known_language(spark):
     assert got == {*range(80)}
 
 
+def test_language_id_query_by_brute_force(spark, tmp_path):
+    from lineora.llm import queries
+
+    rng = random.Random(8)
+    words = {"aa": ("taka", "rana", "Saka", "baka", "İ"), "bb": ("löt", "mür", "sög", "türa"), None: ("taka", "löt", "漢字")}
+    rows = [(i, " ".join(rng.choices(words[x], k=rng.randrange(1, 30))), x) for i, x in enumerate(("aa", "bb", "aa", None) * 15)] + [(200, None, "aa"), (201, "12 !", "bb"), (None, "taka", "aa"), (3, "rana rana", "bb")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    space = langid.Space()
+
+    def bundle(text):
+        t = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        t = " " + " ".join(t.split()) + " "
+        out = [0] * langid.DIMENSIONS
+        for a, b, c in zip(t, t[1:], t[2:], strict=False):
+            x, y, z = (space._letter(ord(q)).tolist() for q in (a, b, c))
+            for k in range(langid.DIMENSIONS):
+                out[k] += x[k - 2] * y[k - 1] * z[k]
+        return out if t.strip() else None
+
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 0
+    sums: dict = {}
+    for i, t, x in rows:
+        if x and not held(i) and (v := bundle(t)):
+            sums[x] = [p + q for p, q in zip(sums.get(x, [0] * len(v)), v, strict=True)]
+    norm = lambda v: math.sqrt(sum(q * q for q in v)) or 1
+    want = []
+    for i, t, _ in rows:
+        v, best = bundle(t), ("und", 0.0)
+        if v:
+            near = {x: sum(p * q for p, q in zip(v, w, strict=True)) / norm(v) / norm(w) for x, w in sums.items()}
+            best = max(sorted(near.items()), key=lambda z: z[1])
+        want.append((i, held(i), best[0], round(max(0.0, best[1]), 9)))
+    got = [(r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in queries.op8_language_id(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     space = langid.Space()
     keys, counts = langid.trigrams("abab")
@@ -350,10 +434,101 @@ def test_targets():
 
 
 def test_flow_prefers_fresh_documents():
-    flow = mixture.min_cost_flow([((0,), 10), ((0, 1), 10), ((1,), 10)], [15, 15])
-    assert sum(flow[0].values()) == sum(flow[1].values()) == sum(flow[2].values()) == 10
-    flow = mixture.min_cost_flow([((0,), 10)], [25])
-    assert flow == [{0: 25}]
+    flow = mixture.min_cost_flow([(10, [((0,), 10)]), (10, [((0, 1), 10)]), (10, [((1,), 10)])], [15, 15])
+    assert flow == [[10], [10], [10]]
+    assert mixture.min_cost_flow([(10, [((0,), 10)])], [25]) == [[25]]
+    # a text that two sources hold is taken once while others are fresh
+    assert mixture.min_cost_flow([(4, [((0,), 4)]), (6, [((0,), 6), ((1,), 6)])], [10, 0]) == [[4], [6, 0]]
+    assert [sum(x) for x in mixture.min_cost_flow([(10, [((0,), 10)]), (6, [((0,), 6), ((1,), 6)])], [10, 6])] == [10, 6]
+
+
+def test_flow_is_cheapest():
+    rng = random.Random(4)
+    for _ in range(40):
+        n = [rng.randrange(1, 4) for _ in range(3)]
+        patterns = [(n[0], [((0,), n[0])]), (n[1], [((0,), n[1]), ((1,), n[1])]), (n[2], [((1,), n[2])])]
+        quotas = [rng.randrange(3 * (n[0] + n[1]) + 1), rng.randrange(3 * (n[1] + n[2]) + 1)]
+        price = lambda fresh, f: sum(min(2, i // fresh) if i < 3 * fresh else 3 for i in range(f))
+        best = min(
+            price(n[0], quotas[0] - x) + price(n[1], x + y) + price(n[2], quotas[1] - y)
+            for x in range(3 * n[1] + 1) for y in range(3 * n[1] + 1)
+            if 0 <= quotas[0] - x <= 3 * n[0] and 0 <= quotas[1] - y <= 3 * n[2]
+        )
+        flow = mixture.min_cost_flow(patterns, quotas)
+        assert flow[0][0] + flow[1][0] == quotas[0] and flow[1][1] + flow[2][0] == quotas[1]
+        assert sum(price(k, sum(f)) for k, f in zip(n, flow, strict=True)) == best
+
+
+def test_mixture_by_brute_force(spark, tmp_path):
+    """The query's whole rows: targets, flow and seeded selection in plain Python."""
+    from lineora.llm import queries
+
+    rng = random.Random(19)
+    shared = ["one text of two", "another that three hold", "a third"]
+    rows = [(i, prose(rng, rng.randrange(0, 30)), rng.choice(("a", "b", "é", None))) for i in range(150)]
+    rows += [(200 + i, rng.choice(shared), rng.choice(("a", "b", None))) for i in range(30)] + [(300, None, "a"), (301, "", "z"), *[(400, "the very same row", "b")] * 9]
+    schema = "doc_id long, text string, source string"
+    df = spark.createDataFrame(rows, schema)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    hashes = {(r[0], r[1]): r[2] for r in df.select("doc_id", "text", F.xxhash64(F.lit(mixture.SEED), "doc_id", F.xxhash64("text"))).collect()}
+    name = lambda s: "1" if s is None else "0" + s
+    size = lambda t: len((t or "").split())
+    holders: dict = {}
+    for _, t, s in rows:
+        if size(t):
+            holders.setdefault(t, set()).add(name(s))
+    pattern = lambda t, s: tuple(sorted(holders.get(t, {name(s)})))
+    names = sorted({name(s) for *_, s in rows})
+    of_source = {x: sum(size(t) for _, t, s in rows if name(s) == x) for x in names}
+    target = dict(zip(names, mixture.targets_of([*of_source.items()], [1 + i % 3 for i in range(len(names))]), strict=True))
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault((pattern(r[1], r[2]), name(r[2])), []).append(r)
+    network: dict = {}
+    for p, s in sorted(groups):
+        network.setdefault(p, []).append(((names.index(s),), sum(size(r[1]) for r in groups[p, s])))
+    fresh = lambda p: sum(size(t) for t, h in holders.items() if tuple(sorted(h)) == p)
+    flow = mixture.min_cost_flow([(fresh(p), x) for p, x in network.items()], [round(target[x]) for x in names])
+    want = Counter()
+    for (p, x), sent in zip(network.items(), flow, strict=True):
+        for ((s,), tokens), f in zip(x, sent, strict=True):
+            full, rest = divmod(f, tokens) if tokens else (0, 0)
+            classes: dict = {}
+            for r in groups[p, names[s]]:
+                classes.setdefault(max(1, size(r[1])).bit_length(), []).append(r)
+            odd, times, left = [], [], rest
+            for c, members in classes.items():
+                members.sort(key=lambda r: (hashes[r[0], r[1]] & (1 << 64) - 1) >> 52)  # slices
+                members = [r for _, g in itertools.groupby(members, lambda r: (hashes[r[0], r[1]] & (1 << 64) - 1) >> 52) for r in sorted(g, key=lambda r: hashes[r[0], r[1]])]
+                goal, end = math.floor(sum(size(r[1]) for r in members) * (rest / tokens if tokens else 0)), 0
+                for r in members:
+                    end += size(r[1])
+                    took = end <= goal
+                    if end > goal > end - size(r[1]):
+                        odd.append((size(r[1]), (c, len(times))))
+                    left -= took * size(r[1])
+                    times.append([r, full + took])
+            for _, at in mixture.nearest_sum(sorted(odd, reverse=True), left) if odd else ():
+                times[at][1] += 1
+            for r, k in times:
+                want[r[0], size(r[1]), of_source[name(r[2])], round(target[name(r[2])], 6), min(3, k) * size(r[1])] += 1
+    got = Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in queries.op9_mixture(spark, str(tmp_path)).collect())
+    assert got == want
+
+
+def test_repeated_rows_are_taken_one_by_one(spark):
+    rows = [(1, "a b c d e", "x")] * 50 + [(2, "f g h i j k", "y")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"times": F.lit("clash"), "__row": F.lit(1)}).repartition(3)
+    times = mixture.mixed_documents(df).toPandas()["times"].sum()
+    out = mixture.mixture(df)
+    assert out.columns == df.columns and out.count() == times == 98
+
+
+def test_documents_of_several_sources(spark):
+    rows = [(1, "a b c d e", ["x", "y"]), (2, "f g h i j k", ["y"]), (3, "k l m", ["x"]), (4, "n", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    got = {r["doc_id"]: r["times"] for r in mixture.mixed_documents(df).collect()}
+    assert len(got) == 4 and max(got.values()) <= 3 and got[1] and got[2]
 
 
 def test_mixture(spark):
@@ -409,6 +584,74 @@ def test_copies_keep_their_text(spark):
         assert got == want
 
 
+def test_lines_of():
+    page = "<nav>menu<p>more</p></nav>out<article>a <span class='ad'>buy</span> b<footer>f</footer></article>"
+    assert extract.lines_of(page) == [("menu", 0), ("more", 0), ("out", 1), ("buy", 0), ("a b", 2), ("f", 0)]
+
+
+def test_main_text_query_by_brute_force(spark, tmp_path):
+    """Whole rows of the query: neighbours searched one by one, alignment by the textbook table."""
+    from lineora.llm import queries
+
+    rng = random.Random(21)
+    rows, own = [], []
+    for i in range(80):
+        host, n = rng.choice("abc"), rng.randrange(1, 6)
+        lines = [f"{host} head", *(f"line {rng.randrange(10**6)} " + "x" * rng.randrange(20) for _ in range(n)), f"{host} foot"]
+        if own and rng.random() < 0.4:  # a copy, or a near copy
+            host, lines = own[-1][0], [*own[-1][1][:-1], f"{own[-1][0]} foot{rng.choice(('', '', '!'))}"]
+        own.append((host, lines))
+        body = "".join(f"<p>{x}</p>" for x in lines[1:-1])
+        body = f"<article>{body}</article>" if rng.random() < 0.3 else body
+        rows.append((i, f"http://{host}/p{rng.randrange(40)}?q={i}", f"<div>{lines[0]}</div><nav>menu {rng.randrange(9)}</nav>{body}<div>{lines[-1]}</div>"))
+    rows += [(90, None, "<p>no url</p>"), (91, None, None), (92, "http://d/", ""), (5, rows[5][1], rows[5][2]), (93, "http://e/x", "<p>alone " + "long " * 50_000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+
+    def shared(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(reversed(range(len(a))), reversed(range(len(b)))):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        out = set()
+        while i < len(a) and j < len(b):
+            if a[i][0] == b[j][0]:
+                out.add(i)
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    def copy(a, b):
+        chars = lambda x: sum(len(t) for t, _ in x)
+        return sum(len(a[i][0]) for i in shared(a, b)) >= extract.COPY * min(chars(a), chars(b))
+
+    place: dict = {}
+    for i, u, h in rows:
+        host, path = re.match(r"\w+://([^/?#]*)([^?#]*)", u).groups() if u else ("", "")
+        key = (host, tuple(extract.lines_of(h)))
+        place[key] = min(place.get(key, (path, i)), (path, i))
+    want = []
+    for i, u, h in rows:
+        host = re.match(r"\w+://([^/?#]*)", u)[1] if u else ""
+        order = [list(k[1]) for k in sorted((k for k in place if k[0] == host), key=lambda k: place[k])]
+        a = extract.lines_of(h)
+        at = order.index(a)
+        first = at
+        while first and copy(order[first], order[first - 1]):
+            first -= 1
+        last = at
+        while last + 1 < len(order) and copy(order[last + 1], order[last]):
+            last += 1
+        others = ([order[first - 1]] if first else []) + ([order[last + 1]] if last + 1 < len(order) else [])
+        gone = next((shared(a, b) for b in others if not copy(a, b)), set())
+        text = "\n".join(t for k, (t, kind) in enumerate(a) if kind == 2 or (kind == 1 and k not in gone))
+        want.append((i, u, text, len(text)))
+    got = [tuple(r) for r in queries.op10_main_text(spark, str(tmp_path)).select("page_id", "url", "text", "n_chars").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_longest_common_subsequence():
     rng = random.Random(0)
     for _ in range(50):
