@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineora.llm.common import cut
+from lineora.llm.common import cut, small_batches
 
 #: Fixed values of the HTML standard and of common page markup.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -221,6 +221,7 @@ def shared_with_neighbours(pages: DataFrame) -> DataFrame:
 
 def marked_lines(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, lines, kinds and shared (indexes of the lines that the page's neighbour has too) for every row of pages."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     parsed = _host_path_mark(cut(rows.mapInArrow(_parse, "page_id long, url string, lines array<string>, kinds array<byte>, hashes array<long>, sizes array<int>"), "lines"))
     found = shared_with_neighbours(parsed.select("host", "path", "page_id", "mark", "hashes", "sizes"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineora.llm.common import WordHash, cut, mixed, word_hashes
+from lineora.llm.common import WordHash, cut, mixed, small_batches, word_hashes
 from lineora.llm.components import components
 
 BUCKET_BITS = 20
@@ -238,6 +238,7 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """For each row of docs: doc_id, text_hash, n_shingles, component_id (smallest doc_id reachable by links). keyed: and
     root, a number of the component itself, null for texts without words."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     scanned = cut(texts.mapInArrow(_scan(width), f"kind byte, doc_id {texts.schema['doc_id'].dataType.simpleString()}, text_hash long, sig long, n long, bitmap array<long>"), "scan")
     rows = scanned.where("kind = 0").drop("kind", "bitmap")

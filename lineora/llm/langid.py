@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineora.llm.common import cut
+from lineora.llm.common import cut, small_batches
 
 DIMENSIONS = 512
 SEED = 20_240_601
@@ -118,6 +118,7 @@ def _learn(batches):
 
 def prototypes(labelled: DataFrame, text: str = "text", label: str = "lang") -> dict[str, np.ndarray]:
     """Unit vectors by label, learned from all rows with a label."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where("label is not null")
     sums = rows.mapInArrow(_learn, "label string, at int, value long").groupBy("label", "at").agg(F.sum("value").alias("value"))
     out: dict[str, np.ndarray] = {}
@@ -128,6 +129,7 @@ def prototypes(labelled: DataFrame, text: str = "text", label: str = "lang") ->
 
 def predicted(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text", sized: str | None = None) -> DataFrame:
     """docs with lang_pred and score (cosine with its prototype, at least 0). sized: a column for the number of trigrams."""
+    small_batches(docs.sparkSession)
     labels, matrix = list(learned), np.array(list(learned.values())).reshape(-1, DIMENSIONS)
     held = docs.sparkSession.sparkContext.broadcast((labels, matrix))
     clear = docs.drop("lang_pred", "score")

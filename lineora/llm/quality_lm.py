@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineora.llm.common import WORD, WordHash, cut, word_hashes
+from lineora.llm.common import WORD, WordHash, cut, small_batches, word_hashes
 
 #: A language's threshold lies half way (as a ratio) between these quantiles of its held-out trusted texts and of its bad ones.
 GOOD_QUANTILE, BAD_QUANTILE = 0.99, 0.05
@@ -220,6 +220,7 @@ def scored(docs: DataFrame, weights: DataFrame, unseen: dict[int, int]) -> DataF
 
 def classified(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", trusted: str = "quality = 1 and coalesce(toxic, 0) = 0", bad: str = "quality = 0") -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept for every row of docs. labels: doc_id and what `trusted` asks for."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     good = labels.where(trusted).select(F.col("doc_id").alias("__id")).distinct()
     if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:

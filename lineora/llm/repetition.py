@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineora.llm.common import small_batches
+
 #: Largest share of characters: in the most frequent n-gram, and in all n-grams found twice or more.
 TOP = {2: 0.20, 3: 0.18, 4: 0.16}
 DUPLICATED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -110,6 +112,7 @@ def repetition(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             shares = pa.array([list(m["shares"].items()) for m in found], pa.map_(pa.string(), pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, *(pa.array(x, pa.bool_()) for x in (list(zip(*said, strict=True)) or ([], []))), shares], ["doc_id", *_COUNTS, "base_failed", "kept", "shares"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(judge, f"doc_id {kind}, " + ", ".join(f"{k} long" for k in _COUNTS) + ", base_failed boolean, kept boolean, shares map<string,double>")

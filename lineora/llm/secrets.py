@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineora.llm.common import cut, fresh_path
+from lineora.llm.common import cut, fresh_path, small_batches
 
 
 @dataclass(frozen=True)
@@ -99,6 +99,7 @@ def unseen(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFra
 
 def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, text: str = "text") -> DataFrame:
     """New ledger rows (LEDGER's schema): append them to the ledger. Rows without spans say that a blob is clean."""
+    small_batches(versions.sparkSession)
     return unseen(versions, rules, ledger, text).select("blob_id", "text", "rules").mapInArrow(_scan(rules), LEDGER)
 
 
