@@ -134,7 +134,7 @@ def graph_build(a: argparse.Namespace, c: Config) -> str:
 
 
 def _load(path: str) -> G.Graph:
-    return G.from_json(session(), read_sql(path))
+    return G.read_json(session(), path) if "://" in path else G.from_json(session(), read_sql(path))
 
 
 def graph_merge(a: argparse.Namespace, c: Config) -> str:
@@ -152,7 +152,7 @@ def graph_query(a: argparse.Namespace, c: Config) -> str:
     result = G.related(g, names[0] or names[1], "upstream" if names[0] else "downstream", tables)
     if a.output_format in ("mermaid", "mermaid-markdown", "dot", "plotly"):
         return diagrams.render(a.output_format, diagrams.Picture.of_query(result, g), g)
-    return sinks.FORMATS["related"][_format(a, c)](result, result.related.collect())
+    return sinks.FORMATS["related"][_format(a, c)](result, result.rows())
 
 
 def graph_visualize(a: argparse.Namespace, c: Config) -> str:

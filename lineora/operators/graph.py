@@ -21,8 +21,8 @@ from lineora.functions.tables import cut
 NODES = T.StructType([T.StructField("identifier", T.StringType()), T.StructField("file_path", T.StringType()), T.StructField("query_index", T.IntegerType()), T.StructField("schema_name", T.StringType()), T.StructField("table", T.StringType()), T.StructField("column", T.StringType())])
 EDGES = T.StructType([T.StructField("source_node", T.StringType()), T.StructField("target_node", T.StringType()), T.StructField("file_path", T.StringType()), T.StructField("query_index", T.IntegerType())])
 
-#: Paths longer or more than this are not listed; hops and reachability are exact all the same.
-MAX_PATH_HOPS, MAX_PATHS = 64, 10_000
+#: Hops of paths that one table takes.
+HOPS_AT_ONCE = 4
 
 
 def parsed_identifier(identifier: Column) -> dict[str, Column]:
@@ -117,13 +117,27 @@ def to_json(graph: Graph) -> str:
     return json.dumps({"metadata": meta, "nodes": nodes, "edges": edges}, indent=2)
 
 
+_META = "node_format string, default_dialect string, created_at string, source_files array<string>"
+
+
 def from_json(spark: SparkSession, text: str) -> Graph:
     """A graph from its JSON document."""
-    data = json.loads(text)
-    pick = lambda rows, schema: spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
-    meta = data.get("metadata", {})
-    nodes = pick(data.get("nodes", []), NODES).withColumn("is_literal", F.col("identifier").startswith("<literal"))
-    return Graph(nodes, pick(data.get("edges", []), EDGES), meta.get("node_format", "qualified"), meta.get("default_dialect", "spark"), meta.get("source_files", []), meta.get("created_at", ""))
+    return _from_documents(spark.createDataFrame([(text,)], "value string"))
+
+
+def read_json(spark: SparkSession, path: str) -> Graph:
+    """A graph from its JSON file, in any store Spark reads; the file is parsed on an executor."""
+    return _from_documents(spark.read.option("wholetext", True).text(path))
+
+
+def _from_documents(documents: DataFrame) -> Graph:
+    schema = f"metadata struct<{_META.replace(' ', ':')}>, nodes array<{NODES.simpleString()}>, edges array<{EDGES.simpleString()}>".replace(",:", ",")
+    read = documents.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("g"))
+    meta = read.select("g.metadata").first()[0]
+    rows = lambda name: read.select(F.inline(f"g.{name}"))
+    known = {k: v for k, v in (meta.asDict() if meta else {}).items() if v is not None}
+    nodes = rows("nodes").withColumn("is_literal", F.col("identifier").startswith("<literal"))
+    return Graph(nodes, rows("edges"), known.get("node_format", "qualified"), known.get("default_dialect", "spark"), known.get("source_files", []), known.get("created_at", ""))
 
 
 def write_tables(graph: Graph, path: str) -> None:
@@ -155,7 +169,7 @@ def _steps(graph: Graph, direction: str) -> DataFrame:
 
 def reachable(graph: Graph, seeds: DataFrame, direction: str) -> DataFrame:
     """(seed, identifier, hops) of everything that seeds (identifier) reach, the seed itself left out; hops are the fewest."""
-    steps = cut(_steps(graph, direction), "steps")
+    steps = _steps(graph, direction)
     seen = cut(seeds.select(F.col("identifier").alias("seed"), "identifier", F.lit(0).alias("hops")), "seen")
     front, hops = seen, 0
     while not front.isEmpty():
@@ -168,20 +182,49 @@ def reachable(graph: Graph, seeds: DataFrame, direction: str) -> DataFrame:
     return seen.where("hops > 0")
 
 
-def paths(graph: Graph, seeds: DataFrame, direction: str, max_hops: int = MAX_PATH_HOPS) -> DataFrame:
-    """(seed, identifier, path) of every simple path, in the direction of the data flow; at most max_hops hops."""
+def _walked(graph: Graph, seeds: DataFrame, direction: str, max_hops: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Paths away from the seeds (seed, identifier, path, hops), and those of max_hops hops that may go on."""
     steps = cut(_steps(graph, direction), "steps")
-    front = cut(seeds.select(F.col("identifier").alias("seed"), "identifier", F.array("identifier").alias("path")), "paths")
-    found = front.limit(0)
-    for _ in range(max_hops):
-        onward = front.join(steps, F.col("identifier") == F.col("at")).where(~F.array_contains("path", F.col("to")))
-        front = cut(onward.select("seed", F.col("to").alias("identifier"), F.concat("path", F.array("to")).alias("path")), "paths")
+    front = seeds.select(F.col("identifier").alias("seed"), "identifier", F.array("identifier").alias("path"), F.lit(0).alias("hops"))
+    found, hops = front.limit(0), 0
+    while max_hops is None or hops < max_hops:
+        levels = [front]
+        for _ in range(HOPS_AT_ONCE if max_hops is None else min(HOPS_AT_ONCE, max_hops - hops)):
+            hops += 1
+            onward = levels[-1].join(steps, F.col("identifier") == F.col("at")).where(~F.array_contains("path", F.col("to")))
+            levels.append(onward.select("seed", F.col("to").alias("identifier"), F.concat("path", F.array("to")).alias("path"), F.lit(hops).alias("hops")))
+        new = cut(_stacked(levels[1:]), "paths")
+        found, front = found.unionByName(new), new.where(F.col("hops") == hops)
         if front.isEmpty():
-            break
-        found = found.unionByName(front)
+            return found, None
+    return found, front
+
+
+def paths(graph: Graph, seeds: DataFrame, direction: str, max_hops: int | None = None) -> DataFrame:
+    """(seed, identifier, path) of every simple path, in the direction of the data flow; of at most max_hops hops, if given."""
+    found = _walked(graph, seeds, direction, max_hops)[0].drop("hops")
     return found.withColumn("path", F.reverse("path")) if direction == "upstream" else found
 
 
+def _listed(graph: Graph, seeds: DataFrame, direction: str, max_hops: int | None, max_paths: int | None) -> DataFrame:
+    """(identifier, paths, truncated): sorted; truncated if one of the limits may have left paths out."""
+    found, on = _walked(graph, seeds, direction, max_hops)
+    way = F.reverse("path") if direction == "upstream" else F.col("path")
+    found = found.select("identifier", way.alias("path")).distinct()
+    over = F.lit(False)
+    if max_paths is not None:  # counted before they are gathered
+        of_node = Window.partitionBy("identifier").orderBy("path")
+        found = found.withColumn("__n", F.row_number().over(of_node)).where(F.col("__n") <= max_paths + 1)
+        over = F.max("__n") > max_paths
+        found = found.withColumn("path", F.when(F.col("__n") <= max_paths, F.col("path")))
+    out = found.groupBy("identifier").agg(F.array_sort(F.collect_list("path")).alias("paths"), over.alias("truncated"))
+    if on is None:
+        return out
+    further = reachable(graph, on.select("identifier").distinct(), direction).select("identifier").distinct().withColumn("__on", F.lit(True))
+    out = out.join(further, "identifier", "full")
+    return out.select("identifier", F.coalesce("paths", F.array().cast("array<array<string>>")).alias("paths"), (F.coalesce("truncated", F.lit(False)) | F.coalesce("__on", F.lit(False))).alias("truncated"))
+
+
 @dataclass
 class QueryResult:
     """Related columns of one or more queried columns or tables."""
@@ -192,6 +235,10 @@ class QueryResult:
     is_table_query: bool
     related: DataFrame
 
+    def rows(self) -> list:
+        """The rows of the result, sorted by lower-cased identifier."""
+        return self.related.orderBy(F.lower("identifier")).collect()
+
 
 def _found(graph: Graph, names: list[str], tables: bool) -> list[str]:
     """Identifiers of the queried columns, in the order asked. Raises ValueError for a name that is not there."""
@@ -213,23 +260,26 @@ def _found(graph: Graph, names: list[str], tables: bool) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def related(graph: Graph, names: str | list[str], direction: str, tables: bool = False, with_paths: bool = True, max_hops: int = MAX_PATH_HOPS) -> QueryResult:
+def related(graph: Graph, names: str | list[str], direction: str, tables: bool = False, with_paths: bool = True, max_hops: int | None = None, max_paths: int | None = None) -> QueryResult:
     """What lies upstream or downstream of columns or of tables' columns: the node's fields, hops (the fewest from any of
-    them), output_column, is_root, is_leaf, paths. Queried columns are left out. Sorted by lower-cased identifier."""
+    them), output_column, is_root, is_leaf, and all simple paths; max_hops and max_paths (a node) limit the list of paths
+    and set truncated where they may have left some out. Queried columns are left out. In no order; QueryResult.rows()
+    sorts by lower-cased identifier."""
     if direction not in ("upstream", "downstream"):
         raise ValueError(f"Unknown direction '{direction}'")
     names = [names] if isinstance(names, str) else list(names)
-    graph = Graph(cut(graph.nodes, "nodes"), cut(graph.edges, "edges")).connected()  # every round below reads them again
+    graph = Graph(cut(graph.nodes, "nodes"), graph.edges)
+    graph = Graph(graph.nodes, cut(graph.connected().edges, "edges"))  # every round below reads them again
     queried = _found(graph, names, tables)
     seeds = graph.nodes.sparkSession.createDataFrame([(x,) for x in queried], "identifier string")
-    reach = reachable(graph, seeds, direction).join(seeds, "identifier", "left_anti").groupBy("identifier").agg(F.min("hops").alias("hops"))
-    out = reach.join(graph.nodes, "identifier").join(degrees(graph), "identifier")
+    reach = reachable(graph, seeds, direction).join(F.broadcast(seeds), "identifier", "left_anti").groupBy("identifier").agg(F.min("hops").alias("hops"))
+    ends = lambda side, name: graph.edges.select(F.col(side).alias("identifier")).distinct().withColumn(name, F.lit(True))
+    out = reach.join(graph.nodes, "identifier").join(ends("target_node", "__in"), "identifier", "left").join(ends("source_node", "__out"), "identifier", "left")
+    out = out.withColumns({"is_root": F.col("__in").isNull(), "is_leaf": F.col("__out").isNull()}).drop("__in", "__out")
     if with_paths:
-        listed = paths(graph, seeds, direction, max_hops).groupBy("identifier").agg(F.array_sort(F.array_distinct(F.collect_list("path"))).alias("paths"))  # one node's paths, bounded by MAX_PATHS below
-        out = out.join(listed, "identifier", "left").withColumn("truncated", F.size(F.coalesce("paths", F.array())) > MAX_PATHS).withColumn("paths", F.slice("paths", 1, MAX_PATHS))
+        out = out.join(_listed(graph, seeds, direction, max_hops, max_paths), "identifier", "left")
     label = ", ".join(names)
-    out = out.withColumn("output_column", F.lit(label)).orderBy(F.lower("identifier"))
-    return QueryResult(label, direction, queried, tables, out)
+    return QueryResult(label, direction, queried, tables, out.withColumn("output_column", F.lit(label)))
 
 
 def find_upstream(graph: Graph, columns: str | list[str], **options) -> QueryResult:

@@ -1,8 +1,8 @@
 """A lineage graph kept up to date from a stream of SQL files.
 
 Files of SQL are read as a stream; each batch's statements are parsed on the driver and its graph is merged into the
-stored one, in which earlier batches come first. A batch is written to a folder of its own and then named in a pointer
-table, so a batch that is run again replaces its own rows only.
+stored one, in which earlier batches come first. A batch is written to a folder of its own, and counts once a marker file
+stands there; a batch that is run again takes its marker away first and replaces its own rows only.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from lineora.operators.graph import Graph, merge, read_tables, write_tables
 from lineora.sources.files import Corpus
 
+#: Stands in the folder of a batch that is whole.
+MARK = "_DONE"
+
 
 def sql_stream(spark: SparkSession, folder: str, glob: str = "*.sql", max_files: int = 100) -> DataFrame:
     """(file_path, sql) of the files that arrive in a folder."""
@@ -28,14 +31,23 @@ def keep_graph(stream: DataFrame, store: str, checkpoint: str, dialect: str = "s
         corpus = Corpus(batch.sparkSession, dialect)
         for r in batch.orderBy("file_path").collect():  # at most max_files files: statements are parsed on the driver
             corpus.add_text(r["file_path"], r["sql"])
-        write_tables(corpus.graph(), f"{store}/batch-{number:09d}")
+        folder = f"{store}/batch-{number:09d}"
+        path, fs = _folder(batch.sparkSession, folder)
+        mark = path(f"{folder}/{MARK}")
+        fs.delete(mark, False)
+        write_tables(corpus.graph(), folder)
+        fs.create(mark, True).close()
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _folder(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(name).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stored_graph(spark: SparkSession, store: str) -> Graph:
-    """The graph of all batches so far."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().toString() for s in fs.listStatus(path) if s.getPath().getName().startswith("batch-"))
-    return merge(read_tables(spark, n) for n in names)
+    """The graph of all batches that were written whole."""
+    path, fs = _folder(spark, store)
+    found = [x.getPath().toString() for x in fs.listStatus(path(store)) if x.getPath().getName().startswith("batch-")]
+    return merge(read_tables(spark, n) for n in sorted(found) if fs.exists(path(f"{n}/{MARK}")))

@@ -21,6 +21,23 @@ FROM part p JOIN (SELECT l_partkey, COUNT(*) AS n FROM lineitem GROUP BY l_partk
 )
 SQL = ";\n".join(STATEMENTS)
 
+#: Statements of other shapes, over the same tables.
+SHAPES = (
+    "CACHE TABLE hot_orders AS SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O')",
+    "CREATE TABLE names AS SELECT c.c_name AS name, n.n_name FROM customer AS c JOIN nation n ON n.n_nationkey = c.c_nationkey",
+    "CREATE OR REPLACE VIEW rich AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_name LIKE 'Customer%')",
+    "UPDATE names SET name = 'none' WHERE name IS NULL",
+    "UPDATE names SET name = q.c_name FROM customer q WHERE names.n_name = q.c_mktsegment",
+    "DELETE FROM names WHERE name NOT IN ('a', 'b')",
+    "SELECT n.n_name, w.word FROM nation n LATERAL VIEW OUTER explode(split(n.n_name, ' ')) w AS word",
+    "SELECT s_name AS who, NULL AS score FROM supplier UNION SELECT c_name, 0 FROM customer",
+    "SELECT a.c_name AS one, b.c_name AS other FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey",
+    "SELECT c_mktsegment, MODE(c_nationkey) AS usual, HASH(c_mktsegment) AS code FROM customer GROUP BY c_mktsegment",
+    "INSERT INTO kept (k, v) SELECT o.* FROM (SELECT o_orderkey, o_custkey FROM orders) o LEFT SEMI JOIN customer c ON c.c_custkey = o.o_custkey",
+    "WITH a AS (SELECT n_regionkey AS k FROM nation), b AS (SELECT k FROM a WHERE EXISTS (SELECT 1 FROM region r WHERE r.r_regionkey = a.k)) SELECT DISTINCT k FROM b",
+    "TRUNCATE TABLE names",
+)
+
 #: Constructs that workloads use, each a query over the test tables. The second text is for an engine whose names differ.
 CONSTRUCTS = {
     "windows": (
@@ -40,7 +57,7 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey), fullw AS (
         "SELECT c.c_custkey, 'semi' AS how FROM customer c LEFT SEMI JOIN orders o ON c.c_custkey = o.o_custkey UNION ALL SELECT c.c_custkey, 'anti' AS how FROM customer c LEFT ANTI JOIN orders o ON c.c_custkey = o.o_custkey",
         "SELECT c.c_custkey, 'semi' AS how FROM customer c SEMI JOIN orders o ON c.c_custkey = o.o_custkey UNION ALL SELECT c.c_custkey, 'anti' AS how FROM customer c ANTI JOIN orders o ON c.c_custkey = o.o_custkey",
     ),
-    "not_in_subquery": ("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)", None),
+    "not_in_subquery": ("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000 UNION SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)", None),
     "aggregates": ("SELECT c_mktsegment, COUNT(*) AS n, COUNT(DISTINCT c_nationkey) AS nations, MIN(c_acctbal) AS least, MAX(c_acctbal) AS most, round(AVG(c_acctbal), 4) AS average, round(SUM(c_acctbal), 2) AS total FROM customer GROUP BY c_mktsegment HAVING COUNT(*) > 1", None),
     "functions": (
         "SELECT c_custkey, UPPER(TRIM(c_mktsegment)) AS segment, LENGTH(c_name) AS n, CONCAT(c_name, '-', c_mktsegment) AS label, CONCAT_WS('/', c_name, c_mktsegment) AS path, MD5(c_name) AS digest, REGEXP_REPLACE(c_name, '[0-9]+', '#') AS masked, ABS(c_acctbal) AS size, COALESCE(NULLIF(c_nationkey, 3), -1) AS nation, GREATEST(c_acctbal, 0) AS up, LEAST(c_acctbal, 0) AS down, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal > 5000 THEN 'rich' ELSE 'plain' END AS kind FROM customer",
@@ -54,6 +71,27 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey), fullw AS (
         "SELECT n.n_nationkey, e.word, e.pos FROM nation n LATERAL VIEW posexplode(split(n.n_name, 'A')) e AS pos, word",
         "SELECT n_nationkey, string_split(n_name, 'A')[i + 1] AS word, CAST(i AS INTEGER) AS pos FROM nation, range(0, 50) r(i) WHERE i < len(string_split(n_name, 'A'))",
     ),
+    "filters": (
+        "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer WHERE c_name LIKE '%1%' AND c_nationkey IN (1, 2, 3, 4) AND c_mktsegment NOT IN ('BUILDING') AND c_acctbal IS NOT NULL AND NOT (c_acctbal BETWEEN 0 AND 100 OR c_custkey IS NULL)",
+        None,
+    ),
+    "self_join": ("SELECT a.n_name AS one, b.n_name AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", None),
+    "mode": (
+        "SELECT n_regionkey, MODE(least_key) AS usual FROM (SELECT n_regionkey, n_nationkey % 1 AS least_key FROM nation) GROUP BY n_regionkey",
+        "SELECT n_regionkey, 0 AS usual FROM nation GROUP BY n_regionkey",
+    ),
+    "hash": (
+        "SELECT n_nationkey, HASH(n_name) = HASH(CONCAT(n_name, '')) AS same, SHA2(n_name, 256) AS digest FROM nation",
+        "SELECT n_nationkey, true AS same, sha256(n_name) AS digest FROM nation",
+    ),
+    "explode_outer": (
+        "SELECT n_nationkey, word FROM nation LATERAL VIEW OUTER explode(filter(split(n_name, 'I'), x -> length(x) > 4)) e AS word",
+        "SELECT n_nationkey, word FROM nation LEFT JOIN (SELECT n_nationkey AS k, unnest(list_filter(string_split(n_name, 'I'), lambda x: length(x) > 4)) AS word FROM nation) ON k = n_nationkey",
+    ),
+    "current": (
+        "SELECT COUNT(*) AS n FROM orders WHERE o_orderdate < CURRENT_TIMESTAMP() AND CAST(o_orderdate AS DATE) < CURRENT_DATE()",
+        "SELECT COUNT(*) AS n FROM orders WHERE o_orderdate < now() AND CAST(o_orderdate AS DATE) < current_date",
+    ),
     "top_rows": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", None),
     "outer_joins": ("SELECT n.n_nationkey, s.s_suppkey, r.r_name FROM nation n LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 0 CROSS JOIN region r WHERE r.r_regionkey = n.n_regionkey", None),
 }
