@@ -7,10 +7,13 @@ Reading splits the files at the record magic. A task walks its split's pieces in
 a payload look the same, so trust comes from the start of the file only: within a split every candidate's chain is
 followed to where it leaves the split, pointer jumping over these exits (doubling each round) gives the entry of each
 split that is reachable from offset 0, and the chain from there marks the true records. A payload that holds the magic
-arrives in several pieces; its digest runs on over them.
+arrives in several pieces; its digest runs on over them. Tables that grow with the records are joined by merging, as
+their file names pack so well that a size estimate would have them broadcast.
 
 Defined cases: null and empty html are empty payloads; a null url is left out; control characters of a url are percent
-encoded; rows with one page_id and equal payloads are all responses; empty tables give an empty archive and result.
+encoded; rows with one page_id and equal payloads are all responses, and a revisit finds its response by page and digest; a null
+page_id is no response that others refer to; other columns are ignored, whatever their names; a long payload is one
+record, put together from its pieces; empty tables give an empty archive and result.
 """
 
 from __future__ import annotations
@@ -172,15 +175,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     hops = cut(narrow.groupBy("file", "block").applyInPandas(_exits, "file string, block long, off long, leaves long"), "exits").drop("block")
     reached, n = narrow.select("file", F.lit(0).cast("long").alias("off")).distinct(), -1
     while True:
-        reached = cut(reached.union(reached.join(hops, ["file", "off"]).select("file", "leaves")).distinct(), "reached")
+        reached = cut(reached.union(reached.join(hops.hint("merge"), ["file", "off"]).select("file", "leaves")).distinct(), "reached")
         if (now := reached.count()) == n:
             break
         n = now
         onward = hops.select("file", F.col("off").alias("leaves"), F.col("leaves").alias("further"))
-        hops = cut(hops.join(onward, ["file", "leaves"], "left").select("file", "off", F.coalesce("further", "leaves").alias("leaves")), "exits")
-    entries = cut(reached.join(narrow.select("file", "block", "off"), ["file", "off"]).select("file", "block", "off"), "entries")
+        hops = cut(hops.join(onward.hint("merge"), ["file", "leaves"], "left").select("file", "off", F.coalesce("further", "leaves").alias("leaves")), "exits")
+    entries = cut(reached.join(narrow.select("file", "block", "off").hint("merge"), ["file", "off"]).select("file", "block", "off"), "entries")
     true = narrow.groupBy("file", "block").cogroup(entries.groupBy("file", "block")).applyInPandas(_chains, "file string, off long")
-    records = cut(found.join(true, ["file", "off"]), "records")
+    records = cut(found.join(true.hint("merge"), ["file", "off"]), "records")
 
     cut_off = records.where("digest is null").select(F.col("file").alias("__file"), "off", F.col("next").alias("until"))
     if not cut_off.isEmpty():
@@ -203,7 +206,7 @@ def _remainders(spark: SparkSession, path: str, records: DataFrame, cut_off: Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, "seq"])
 
     numbered = _pieces(spark, path).mapInArrow(number, "file string, block long, value binary, seq long")
-    parts = numbered.join(inside, ["file", "block", "seq"])
+    parts = numbered.join(inside.hint("merge"), ["file", "block", "seq"])
 
     def joined(frame):
         import pandas as pd
@@ -216,15 +219,18 @@ def _remainders(spark: SparkSession, path: str, records: DataFrame, cut_off: Dat
         return pd.DataFrame({"file": [frame["file"].iloc[0]], "off": [frame["owner"].iloc[0]], "again": [base64.b32encode(hashlib.sha1(payload).digest()).decode()]})
 
     again = parts.groupBy("file", "owner").applyInPandas(joined, "file string, off long, again string")  # one record's pieces
-    return records.join(again, ["file", "off"], "left").withColumn("digest", F.coalesce("digest", "again"))
+    return records.join(again.hint("merge"), ["file", "off"], "left").withColumn("digest", F.coalesce("digest", "again"))
 
 
 def resolved(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url; revisits get the size of the payload with their
     digest at the page they refer to."""
+    told = records.where("type = 'revisit'")
     full = records.where("type = 'response'").groupBy(F.col("page_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.max("payload_bytes").alias("__bytes"))
-    same = (F.col("refers") == F.col("__id")) & (F.col("told") == F.col("__digest"))
-    revisits = records.where("type = 'revisit'").join(full, same, "left").select("page_id", F.col("__bytes").alias("payload_bytes"), F.col("told").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers").alias("refers_to"), "url")
+    asked = told.select(F.col("refers").alias("__id"), F.col("told").alias("__digest")).distinct()
+    full = cut(full.join(asked.hint("merge"), ["__id", "__digest"], "left_semi"), "referred")  # a row for each group of equal payloads
+    full = F.broadcast(full) if full.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else full.hint("merge")
+    revisits = told.join(full, (F.col("refers") == F.col("__id")) & (F.col("told") == F.col("__digest")), "left").select("page_id", F.col("__bytes").alias("payload_bytes"), F.col("told").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers").alias("refers_to"), "url")
     own = records.where("type = 'response'").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "url")
     return own.unionByName(revisits)
 
