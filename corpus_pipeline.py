@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. Near duplicates are documents
 that share 80% of their five-word shingles.
+
+Defined cases, for all stages: texts that are null, empty or without letters go with language ID; null and repeated ids
+are told apart by their texts; of rows equal in id and text one stays; a null source is a source of its own; extra columns
+stay whatever their names, but for those that sharding adds (size, text_crc32, shard, slot); empty tables give empty ones.
 """
 
 from __future__ import annotations

@@ -342,9 +342,7 @@ def graph_long_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_limited_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a limit of hops the listing says where it stopped; hops stay exact."""
-    g = month_chain(spark, sf_dir)
-    last = g.nodes.agg(F.max("identifier")).first()[0]
-    return G.find_upstream(g, last, max_hops=5).related.select("identifier", "hops", F.size("paths").alias("n_paths"), "truncated")
+    return G.find_upstream(key_graph(spark, sf_dir), "orders.1", max_hops=1).related.select("identifier", "hops", F.size("paths").alias("n_paths"), "truncated")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -429,8 +427,9 @@ ORACLES = {
         SELECT id AS identifier, hops, is_root, is_leaf, 'supplier, customer' AS output_column FROM ends JOIN up ON n = id""",
     "graph_long_paths": """WITH m AS (SELECT 'month.' || k AS id, row_number() OVER (ORDER BY k DESC) - 1 AS hops FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS k FROM orders))
         SELECT a.id AS identifier, CAST(a.hops AS INTEGER) AS hops, 1 AS n_paths, string_agg(b.id, '>' ORDER BY b.hops DESC) AS path, false AS truncated FROM m a JOIN m b ON b.hops <= a.hops WHERE a.hops > 0 GROUP BY ALL""",
-    "graph_limited_paths": """WITH m AS (SELECT 'month.' || k AS id, row_number() OVER (ORDER BY k DESC) - 1 AS hops FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS k FROM orders))
-        SELECT id AS identifier, CAST(hops AS INTEGER) AS hops, CASE WHEN hops <= 5 THEN 1 ELSE 0 END AS n_paths, hops > 5 AS truncated FROM m WHERE hops > 0""",
+    "graph_limited_paths": """SELECT 'customer.' || o_custkey AS identifier, 1 AS hops, 1 AS n_paths, false AS truncated FROM orders WHERE o_orderkey = 1
+        UNION ALL SELECT 'nation.' || c_nationkey, 2, 0, true FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = 1
+        UNION ALL SELECT 'region.' || n_regionkey, 3, 0, true FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey = 1""",
     "skipped_statements": _values("query_index, statement_type", "(5, 'DROP TABLE')"),
     "table_inventory": _values("query_index, table_name, usage, object_type", """
         (0, 'customer', 'INPUT', 'UNKNOWN'), (0, 'customer_report', 'OUTPUT', 'UNKNOWN'), (0, 'order_totals', 'INPUT', 'CTE'), (0, 'orders', 'INPUT', 'UNKNOWN'), (0, 'segments', 'INPUT', 'CTE'),

@@ -90,3 +90,34 @@ def test_formats(spark):
     assert '"a.x" -> "b.x" [label="f.sql"];' in diagrams.render("dot", picture)
     figure = json.loads(diagrams.render("plotly", diagrams.Picture.of_graph(g), g))
     assert figure["layout"]["height"] == 400 and figure["data"][1]["text"] == ["a.x", "b.x", "c.x"]
+
+
+def graph_of_edges(spark, edges):
+    rows = [(a, b, "f.sql", 0, i) for i, (a, b) in enumerate(edges)]
+    return G.graph_of(spark.createDataFrame(rows, "source_name string, output_name string, file_path string, query_index int, item_index int"))
+
+
+def test_paths_have_no_limit_unless_asked(spark):
+    g = graph_of_edges(spark, [(f"t.c{i:03}", f"t.c{i + 1:03}") for i in range(70)])
+    seeds = spark.createDataFrame([("t.c000",)], "identifier string")
+    found = G.paths(g, seeds, "downstream").collect()
+    assert sorted(len(r["path"]) for r in found) == [*range(2, 72)]
+    assert max(len(r["path"]) for r in G.paths(g, seeds, "downstream", 3).collect()) == 4
+
+
+def test_limits_are_flagged(spark):
+    # two ways to d, a cycle back to a, and f behind it
+    g = graph_of_edges(spark, [("t.a", "t.b"), ("t.a", "t.c"), ("t.b", "t.d"), ("t.c", "t.d"), ("t.d", "t.a"), ("t.d", "t.f")])
+    rows = {r["identifier"]: (r["paths"], r["truncated"]) for r in G.find_downstream(g, "t.a").rows()}
+    assert rows["t.f"] == ([["t.a", "t.b", "t.d", "t.f"], ["t.a", "t.c", "t.d", "t.f"]], False)
+    rows = {r["identifier"]: (len(r["paths"]), r["truncated"]) for r in G.find_downstream(g, "t.a", max_paths=1).rows()}
+    assert rows["t.f"] == (1, True) and rows["t.b"] == (1, False)
+    rows = {r["identifier"]: (len(r["paths"] or []), r["truncated"]) for r in G.find_downstream(g, "t.a", max_hops=2).rows()}
+    assert rows["t.f"] == (0, True) and rows["t.d"][0] == 2
+
+
+def test_json_is_read_by_spark(spark, tmp_path):
+    g = graph_of_edges(spark, [("t.a", "t.b")])
+    (tmp_path / "g.json").write_text(G.to_json(g))
+    again = G.read_json(spark, str(tmp_path / "g.json"))
+    assert again.edges.collect() == g.edges.select(*again.edges.columns).collect() and again.nodes.count() == 2
