@@ -140,9 +140,10 @@ def _small(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Mix:
-    """What is taken. shared: __text, __all (patterns of texts whose rows differ in sources). groups: __p, __o, __g, __full,
+    """What is taken. rows: the sized rows, narrow. shared: __text, __all (patterns of texts whose rows differ in sources). groups: __p, __o, __g, __full,
     source_sizes, targets. cuts: __g, __c and where the class is cut. hashes: __h of the rows in the slices of cuts."""
 
+    rows: DataFrame
     shared: DataFrame
     groups: DataFrame
     cuts: DataFrame
@@ -240,32 +241,32 @@ def mix_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
         rests[g] -= end - n
     taken = [(g, c, c in nearest_sum(sorted(x, reverse=True), rests[g])) for g, x in sorted(odd.items()) for _, c in x]
     taken = spark.createDataFrame(taken, "__g int, __c int, __take boolean")
-    return Mix(shared, groups, cut(cuts.join(_small(taken), ["__g", "__c"], "left"), "cuts"), cut(edge.select("__h").distinct(), "hashes"), repeats)
+    return Mix(rows, shared, groups, cut(cuts.join(_small(taken), ["__g", "__c"], "left"), "cuts"), cut(edge.select("__h").distinct(), "hashes"), repeats)
 
 
-def applied(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """For each row of docs: __row, text_hash, size, times, source_sizes, targets. Only rows in the slices of cuts move."""
-    keyed, hashes = _keyed(docs, doc_id, text, source, seed), _small(mix.hashes)
-    ready = lambda rows: _marked(_placed(_sized(rows), mix.shared), mix.groups, mix.cuts)
+def _decided(whole: DataFrame, edge: DataFrame, mix: Mix) -> DataFrame:
+    """Sized rows with times; edge: those whose place in the seeded order is that of a row in a cut's slice."""
+    ready = lambda rows: _marked(_placed(rows, mix.shared), mix.groups, mix.cuts)
     slice_extra = F.coalesce(F.col("__b") < F.col("__cut"), F.col("__b") <= F.col("__last"), F.lit(False))
-    whole = ready(keyed.join(hashes, "__h", "left_anti")).withColumn("__extra", slice_extra)
-    edge = _ends(ready(keyed.join(hashes, "__h", "left_semi")))  # a row of another source may have the hash of one on a cut
+    whole = ready(whole).withColumn("__extra", slice_extra)
+    edge = _ends(ready(edge))  # a row of another source may have the hash of one on a cut
     row_extra = (F.col("__end") <= F.col("__goal")) | (F.expr(_ODD) & F.coalesce("__take", F.lit(False)))
     edge = edge.withColumn("__extra", F.when(F.expr(_ON_CUT), row_extra).otherwise(slice_extra)).drop("__end")
-    rows = whole.unionByName(edge)
     times = F.when(F.col("__size") > 0, F.least(F.col("__full") + F.col("__extra").cast("int"), F.lit(mix.repeats))).otherwise(0).cast("int")
-    return rows.select("__row", F.col("__text").alias("text_hash"), F.col("__size").alias("size"), times.alias("times"), "source_sizes", "targets")
+    return whole.unionByName(edge).withColumn("times", times)
 
 
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """For each row: doc_id, text_hash, size, source_size, target (of its first source), times (how often the mix takes it)."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
-    out = applied(docs, mix_of(docs, seed=seed, **options), seed=seed)
-    return out.select("__row.doc_id", "text_hash", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "times")
+    mix = mix_of(docs, doc_id, text, source, **options)
+    hashes = _small(mix.hashes)
+    out = _decided(mix.rows.join(hashes, "__h", "left_anti"), mix.rows.join(hashes, "__h", "left_semi"), mix)
+    return out.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text_hash"), F.col("__size").alias("size"), F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "times")
 
 
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken; all their columns."""
-    names = {"doc_id": doc_id, "text": text, "source": source, "seed": seed}
-    taken = applied(docs, mix_of(docs, **names, **options), **names).where("times > 0")
-    return taken.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("__row.*")
+    """The mix itself: the rows of docs, each as often as it is taken; all their columns. Only rows in the slices of cuts move."""
+    mix = mix_of(docs, doc_id, text, source, seed=seed, **options)
+    keyed, hashes = _keyed(docs, doc_id, text, source, seed), _small(mix.hashes)
+    out = _decided(_sized(keyed.join(hashes, "__h", "left_anti")), _sized(keyed.join(hashes, "__h", "left_semi")), mix)
+    return out.where("times > 0").withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("__row.*")
