@@ -127,7 +127,7 @@ def from_json(spark: SparkSession, text: str) -> Graph:
 
 def read_json(spark: SparkSession, path: str) -> Graph:
     """A graph from its JSON file, in any store Spark reads; the file is parsed on an executor."""
-    return _from_documents(spark.read.option("wholetext", True).text(path))
+    return _from_documents(spark.read.text(path, wholetext=True))
 
 
 def _from_documents(documents: DataFrame) -> Graph:
