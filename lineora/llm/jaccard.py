@@ -303,7 +303,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     gone = cut(gone, "gone")
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    hashed = docs.withColumn("__of", text_hash(F.col(text).cast("string")))
-    kept = hashed.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__hash")), "left_anti")
+    hashed = docs.select(F.struct("*").alias("__row"), F.col(doc_id).alias("__doc"), text_hash(F.col(text).cast("string")).alias("__of"))
+    kept = hashed.join(gone, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__hash")), "left_anti")
     twice = not rows.where("n > 1").isEmpty()
-    return (kept.dropDuplicates([doc_id, "__of"]) if twice else kept).drop("__of")
+    return (kept.dropDuplicates(["__doc", "__of"]) if twice else kept).select("__row.*")
