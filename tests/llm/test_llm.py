@@ -1,18 +1,23 @@
 """Operators against brute force, on small tables with nulls, empty texts, ties, repeated rows and clashing columns."""
 
 import base64
+import contextlib
 import hashlib
 import itertools
 import math
 import random
 import re
+import threading
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lineora.functions.tables import fresh_path
 from lineora.llm import decontaminate, extract, jaccard, langid, mixture, quality_lm, repetition, secrets, sharding, warc
 from lineora.llm.components import components
 
@@ -116,6 +121,45 @@ def test_kneser_ney_by_brute_force(spark, monkeypatch, hot):
     assert got[len(texts)] == got[3]
 
 
+def test_kneser_ney_in_steps_takes_little_disk(spark, monkeypatch):
+    """Disk at its fullest, shuffle files and tables, for each word; and the same rows in one step and in several."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(20_000)]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(words, k=1000)), "en", "s") for i in range(200)], DOCS).cache()
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    folders = [Path(fresh_path(spark, "x").removeprefix("file://")).parent, *(Path(str(x)) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())]
+
+    def used():
+        total = 0
+        for path in (x for folder in folders for x in folder.rglob("*")):
+            with contextlib.suppress(OSError):
+                total += path.stat().st_size
+        return total
+
+    whole = sorted(tuple(r) for r in quality_lm.classified(df, labels).collect())
+    for name in ("TRAIN_BYTES", "SCORE_BYTES", "SHARD_BYTES"):
+        monkeypatch.setattr(quality_lm, name, 1 << 17, raising=False)
+    floor, peak, done = used(), [0], threading.Event()
+    watch = threading.Thread(target=lambda: [peak.append(used()) for _ in iter(lambda: done.wait(0.02), True)])
+    watch.start()
+    out = quality_lm.classified(df, labels)
+    done.set()
+    watch.join()
+    assert max(peak) - floor < 30 * 200_000
+    assert sorted(tuple(r) for r in out.collect()) == whole
+
+
+def test_word_hashes():
+    texts = ["a b", "b", "", " b  a\x0b", "x" * 3000 + " b " + "x" * 3001, "é\u00a0a b", "abcdefgh abcdefghi abcdefg"]
+    x, starts, n = quality_lm.framed(pa.array(["cut", *texts])[1:])
+    assert n.tolist() == [len(t.encode().split()) for t in texts]
+    of = {}
+    for t, a in zip(texts, starts, strict=True):
+        for i, word in enumerate(t.encode().split()):
+            assert of.setdefault(word, x[a + 2 + i]) == x[a + 2 + i]
+    assert len(set(of.values())) == len(of)
+
+
 def test_hashes_are_those_of_spark(spark):
     r = spark.sql("SELECT xxhash64(5L, -7L) AS x, xxhash64(5L) AS y").first()
     one = quality_lm.hashed(np.array([5], np.uint64), np.uint64(42))
