@@ -23,6 +23,8 @@ EDGES = T.StructType([T.StructField("source_node", T.StringType()), T.StructFiel
 
 #: Hops of paths that one table takes.
 HOPS_AT_ONCE = 4
+#: A layer with so many nodes that lead on, at most, is broadcast; they are counted first.
+FEW = 50_000
 
 
 def parsed_identifier(identifier: Column) -> dict[str, Column]:
@@ -54,6 +56,7 @@ class Graph:
     dialect: str = "spark"
     source_files: list[str] = field(default_factory=list)
     created_at: str = field(default_factory=lambda: datetime.now(UTC).isoformat())
+    whole: bool = False  # the ends of all edges are known to be among the nodes
 
     def metadata(self) -> dict:
         return {"node_format": self.node_format, "default_dialect": self.dialect, "created_at": self.created_at, "source_files": self.source_files, "total_nodes": self.nodes.count(), "total_edges": self.edges.count()}
@@ -66,9 +69,12 @@ class Graph:
 
     def connected(self) -> Graph:
         """Without the edges of which an end is missing."""
+        if self.whole:
+            edges = self.edges.where("source_node IS NOT NULL AND target_node IS NOT NULL")
+            return Graph(self.nodes, edges, self.node_format, self.dialect, self.source_files, self.created_at, True)
         ids = self.nodes.select("identifier")
         edges = self.edges.join(ids, F.col("source_node") == F.col("identifier"), "left_semi").join(ids, F.col("target_node") == F.col("identifier"), "left_semi")
-        return Graph(self.nodes, edges, self.node_format, self.dialect, self.source_files, self.created_at)
+        return Graph(self.nodes, edges, self.node_format, self.dialect, self.source_files, self.created_at, True)
 
 
 def graph_of(lineage: DataFrame, source_files: list[str] | None = None, node_format: str = "qualified", dialect: str = "spark") -> Graph:
@@ -83,7 +89,7 @@ def graph_of(lineage: DataFrame, source_files: list[str] | None = None, node_for
     met = rows.select(F.explode(F.array(F.struct(F.col("target_node").alias("identifier"), F.lit(0).alias("side")), F.struct(F.col("source_node").alias("identifier"), F.lit(1).alias("side")))).alias("__n"), "file_path", *order)
     nodes = _first(met.select("__n.identifier", "__n.side", "file_path", *order), ["identifier"], [*order, "side"])
     nodes = nodes.select("identifier", "file_path", "query_index", *(c.alias(n) for n, c in parsed_identifier(F.col("identifier")).items()), F.col("identifier").startswith("<literal").alias("is_literal"))
-    return Graph(nodes, edges.select("source_node", "target_node", "file_path", "query_index"), node_format, dialect, source_files or [])
+    return Graph(nodes, edges.select("source_node", "target_node", "file_path", "query_index"), node_format, dialect, source_files or [], whole=True)
 
 
 def merge(graphs: Iterable[Graph]) -> Graph:
@@ -268,7 +274,7 @@ def related(graph: Graph, names: str | list[str], direction: str, tables: bool =
     if direction not in ("upstream", "downstream"):
         raise ValueError(f"Unknown direction '{direction}'")
     names = [names] if isinstance(names, str) else list(names)
-    graph = Graph(cut(graph.nodes, "nodes"), graph.edges)
+    graph = Graph(cut(graph.nodes, "nodes"), graph.edges, whole=graph.whole)
     graph = Graph(graph.nodes, cut(graph.connected().edges, "edges"))  # every round below reads them again
     queried = _found(graph, names, tables)
     seeds = graph.nodes.sparkSession.createDataFrame([(x,) for x in queried], "identifier string")
@@ -312,17 +318,34 @@ def recursive_paths(graph: Graph, column: str, direction: str, max_level: int =
 
 
 def layers(graph: Graph) -> DataFrame:
-    """(identifier, layer, x, y): a node's layer is the longest way to it from a root; nodes of cycles take the next free one."""
-    edges = cut(_steps(graph.connected(), "downstream").withColumnsRenamed({"at": "a", "to": "b"}), "edges")
-    left = cut(graph.nodes.select("identifier").distinct(), "left")
-    placed, layer = left.limit(0).withColumn("layer", F.lit(0)), 0
-    while not left.isEmpty():
-        alive = edges.join(left, F.col("a") == F.col("identifier"), "left_semi")
-        free = left.join(alive, F.col("identifier") == F.col("b"), "left_anti")
-        free = cut(left if free.isEmpty() else free, "free")
-        placed = placed.unionByName(free.withColumn("layer", F.lit(layer)))
-        left = cut(left.join(free, "identifier", "left_anti"), "left")
-        layer += 1
+    """(identifier, layer, x, y): a node's layer is the longest way to it from a root; nodes of cycles take the next free one.
+
+    Each edge carries how many edges its target has and whether the target leads on. A round follows the edges of the nodes
+    that the last one has freed (all edges are shuffled for it only where these are too many to broadcast) and writes the nodes
+    it met: those it frees, and those that wait for other edges. Nodes that no round has met are not written again."""
+    edges = cut(graph.connected().edges.select(F.col("source_node").alias("a"), F.col("target_node").alias("b")).where("a != b"), "edges")
+    into = edges.groupBy(F.col("b").alias("__in")).agg(F.count("*").alias("n_in"))
+    out = edges.select(F.col("a").alias("__out")).distinct()
+    ends = graph.nodes.select("identifier").distinct().join(into, F.col("identifier") == F.col("__in"), "left").join(out, F.col("identifier") == F.col("__out"), "left")
+    ends = cut(ends.select("identifier", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.col("__out").isNotNull().alias("leads")), "ends")
+    steps = cut(edges.join(ends, F.col("b") == F.col("identifier")).select("a", "b", "n_in", "leads"), "steps")
+    met, placed, n_placed = ends.where("n_in = 0").withColumn("n", F.lit(0).cast("long")), [], 0
+    while True:
+        free = met.where("n = n_in")
+        n_free, n_on = met.agg(F.count_if(F.col("n") == F.col("n_in")), F.count_if((F.col("n") == F.col("n_in")) & F.col("leads"))).first()
+        if n_free:
+            placed.append(free.select("identifier", F.lit(len(placed)).alias("layer")))
+            n_placed += n_free
+        if not n_on:
+            break
+        front = free.where("leads").select("identifier")
+        front = F.broadcast(front) if n_on <= FEW else front
+        onward = steps.join(front, F.col("a") == F.col("identifier")).select(F.col("b").alias("identifier"), "n_in", "leads", F.lit(1).cast("long").alias("n"))
+        met = cut(onward.unionByName(met.where("n < n_in")).groupBy("identifier", "n_in", "leads").agg(F.sum("n").alias("n")), "met")
+    if n_placed < ends.count():  # cycles, and what lies behind them
+        done = _stacked(placed).select("identifier") if placed else ends.select("identifier").limit(0)
+        placed.append(ends.where("n_in > 0").join(done, "identifier", "left_anti").select("identifier", F.lit(len(placed)).alias("layer")))
+    placed = _stacked(placed) if placed else ends.select("identifier", F.lit(0).alias("layer"))
     order = Window.partitionBy("layer").orderBy("identifier")
     size = Window.partitionBy("layer")
     return placed.withColumns({"x": F.col("layer") * 250.0, "y": (F.row_number().over(order) - 1 - (F.count("*").over(size) - 1) / 2) * 100.0})

@@ -121,3 +121,50 @@ def test_json_is_read_by_spark(spark, tmp_path):
     (tmp_path / "g.json").write_text(G.to_json(g))
     again = G.read_json(spark, str(tmp_path / "g.json"))
     assert again.edges.collect() == g.edges.select(*again.edges.columns).collect() and again.nodes.count() == 2
+
+
+def layered(edges, nodes):
+    """Layers by the plain rule: free nodes have no edge from a node that is left; where none is free, all that are left take the layer."""
+    edges = {(a, b) for a, b in edges if a != b and {a, b} <= nodes}
+    out, left, layer = {}, set(nodes), 0
+    while left:
+        free = left - {b for a, b in edges if a in left} or left
+        out |= dict.fromkeys(free, layer)
+        left, layer = left - free, layer + 1
+    return out
+
+
+LAYERED = {
+    "long and short ways": ([("a", "b"), ("b", "c"), ("c", "d"), ("a", "d"), ("a", "c"), ("x", "d"), ("d", "d")], "abcdxi"),
+    "a cycle and what lies behind it": ([("r", "a"), ("r", "z"), ("a", "b"), ("b", "a"), ("b", "t"), ("t", "u")], "rabztu"),
+    "no root": ([("a", "b"), ("b", "a")], "ab"),
+    "repeated edges and missing ends": ([("a", "b"), ("a", "b"), ("a", "b"), ("b", "c"), ("a", "c"), ("gone", "a"), ("c", "gone")], "abc"),
+    "no edges": ([], "ab"),
+    "nothing": ([], ""),
+}
+
+
+@pytest.mark.parametrize("name", LAYERED)
+def test_layers_by_the_plain_rule(spark, name, monkeypatch):
+    edges, nodes = LAYERED[name]
+    g = G.Graph(spark.createDataFrame([(x,) for x in nodes], "identifier string"), spark.createDataFrame(edges, "source_node string, target_node string"))
+    want = layered(edges, set(nodes))
+    for few in (G.FEW, 0):
+        monkeypatch.setattr(G, "FEW", few)
+        rows = G.layers(g).collect()
+        assert {r["identifier"]: r["layer"] for r in rows} == want and len(rows) == len(want)
+        assert all(r["x"] == r["layer"] * 250 for r in rows)
+
+
+def test_layers_write_each_node_a_few_times(spark, monkeypatch):
+    edges = [(f"t.c{i}", f"t.c{i + 1}") for i in range(8)] + [("t.c8", f"t.leaf{i}") for i in range(100)]
+    g, written, cut = graph_of_edges(spark, edges), [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df, name: written.append(cut(df, name)) or written[-1])
+    assert {r["identifier"]: r["layer"] for r in G.layers(g).collect()} == layered(edges, {x for e in edges for x in e})
+    assert sum(x.count() for x in written) <= 5 * 109  # 109 nodes in ten layers
+
+
+def test_a_graph_just_built_needs_no_join_to_be_connected(spark):
+    g = graph_of_edges(spark, [("t.a", "t.b")])
+    assert "Join" not in g.connected().edges._jdf.queryExecution().optimizedPlan().toString() and g.connected().edges.count() == 1
+    assert G.Graph(g.nodes.where("identifier = 't.a'"), g.edges).connected().edges.count() == 0
